@@ -94,17 +94,17 @@ class Scratch:
                 remove(self.spark, at)
 
 
-def training_sample(docs: DataFrame, marks: DataFrame, mark: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """(id, text, label) of labelled rows for fitting: at most per_class rows a class, none of them held out.
+def training_sample(docs: DataFrame, marks: DataFrame, mark: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
+    """(id, text, label) of labelled rows for fitting: at most most[label] rows of each label, none of them held out.
 
-    The bound is the documented parameter per_class. Rows are taken in the order of a hash of their id, so reruns agree.
+    The bound is the documented parameter most. Rows are taken in the order of a hash of their id, so reruns agree.
     Null labels, null ids and ids labelled both ways are left out; a repeated id counts once.
     """
     lab = marks.where(F.col(mark).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     lab = lab.groupBy(F.col(id_col).alias("_id")).agg(F.min(mark).alias("_y"), F.max(mark).alias("_z")).where("_y = _z")
     picked: dict[int, int] = {}
-    for y in (0, 1):
-        rows = lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class).select("_id").collect()
+    for y in sorted(most):
+        rows = lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most[y]).select("_id").collect()
         picked |= {r[0]: y for r in rows}
     if not picked:
         return []

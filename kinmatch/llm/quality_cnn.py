@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import is_held_out
 
 #: Labelled rows used for fitting, at most so many of each class.
-SAMPLE_PER_CLASS = 1200
+SAMPLE = {0: 1200, 1: 1200}
 WIDTH, STRIDE, EMBED, FILTERS = 6, 2, 8, 24
 #: A block is BLOCK filter positions; a chunk is CHUNK blocks and starts every HOP blocks, so chunks overlap by half.
 BLOCK, CHUNK, HOP = 32, 4, 2
@@ -91,9 +91,10 @@ class Scorer:
 
 
 def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate: float = 0.01, most_blocks: int = 96) -> Network:
-    """Trains by Adam on the labelled rows (held-out ids are left out); classes weigh by their square-rooted shares.
+    """Trains by Adam on the labelled rows (held-out ids are left out); the classes weigh alike.
 
-    A training step sees a random run of at most most_blocks blocks of a document; scoring covers all of every text.
+    A training step sees a random run of at most most_blocks blocks of a document, one in three times a short run, so
+    that short texts are learned too; scoring covers all of every text.
     Only maxima pass gradients on, so a step touches few filter positions.
     """
     rng = np.random.default_rng(seed)
@@ -126,10 +127,11 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate:
             for i in batch:
                 doc = data[i]
                 n = (len(doc) - WIDTH) // STRIDE + 1
-                if n > most_blocks * BLOCK:
-                    start = int(rng.integers(0, n - most_blocks * BLOCK + 1))
-                    doc = doc[start * STRIDE : (start + most_blocks * BLOCK - 1) * STRIDE + WIDTH]
-                    n = most_blocks * BLOCK
+                most = int(rng.integers(8, 128)) if rng.random() < 0.33 else most_blocks * BLOCK
+                if n > most:
+                    start = int(rng.integers(0, n - most + 1))
+                    doc = doc[start * STRIDE : (start + most - 1) * STRIDE + WIDTH]
+                    n = most
                 sums = sum(tables[w][doc[w : w + (n - 1) * STRIDE + 1 : STRIDE]] for w in range(WIDTH))
                 n_blocks = -(-n // BLOCK)
                 starts = chunk_starts(n_blocks)
@@ -159,9 +161,7 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate:
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
                 net[k] -= now * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
-    # Classes were weighed alike; their true shares move the offset half way.
-    shift = 0.5 * np.log(y.mean() / (1 - y.mean()))
-    return Network(net["embed"], net["filters"], net["bias"], net["dense"], float(net["offset"][0] + shift))
+    return Network(net["embed"], net["filters"], net["bias"], net["dense"], float(net["offset"][0]))
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:

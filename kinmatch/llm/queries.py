@@ -18,7 +18,7 @@ def _scores(scored: DataFrame) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    grammar = toxicity.fit(training_sample(docs, labels(spark, sf_dir), "toxic", toxicity.SAMPLE_PER_CLASS))
+    grammar = toxicity.fit(training_sample(docs, labels(spark, sf_dir), "toxic", toxicity.SAMPLE))
     return _scores(toxicity.score_documents(docs, grammar))
 
 
@@ -30,10 +30,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(documents(spark, sf_dir))
 
 
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_cnn.Network:
+    return quality_cnn.fit(training_sample(docs, labels(spark, sf_dir), "quality", quality_cnn.SAMPLE))
+
+
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    net = quality_cnn.fit(training_sample(docs, labels(spark, sf_dir), "quality", quality_cnn.SAMPLE_PER_CLASS))
-    return _scores(quality_cnn.score_documents(docs, net))
+    return _scores(quality_cnn.score_documents(docs, quality_network(spark, docs, sf_dir)))
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

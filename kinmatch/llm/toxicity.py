@@ -15,7 +15,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import is_held_out
 
 #: Labelled rows used for fitting, at most so many of each class.
-SAMPLE_PER_CLASS = 3000
+SAMPLE = {0: 5000, 1: 2000}
 
 # Seed words of each class, in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid loser losers pathetic scum worthless trash clown disgusting imbecile dumb vermin idiotisch dummkopf abschaum arschloch wertlos crétin débile ordure minable estúpido imbécil basura inútil"
@@ -180,39 +180,46 @@ def features(patterns: Iterable[int]) -> np.ndarray:
     return x
 
 
-def learn_insults(rows: list[tuple[int, str, int]], purity: float = 0.97, least: int = 5) -> tuple[set[str], set[str]]:
-    """Words and stems (beginnings of 4 to 8 characters) that mark toxic rows: a greedy cover of the toxic rows.
+def _keys(text: str) -> set[str]:
+    """Words of three letters and more, and their beginnings of 4 to 8 characters, marked by a star."""
+    words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
+    return words | {w[:k] + "*" for w in words for k in range(4, min(len(w), 8) + 1)}
 
-    Each step takes the word or stem that marks most toxic rows not yet covered, among those with a share of toxic rows
-    of at least purity (classes weigh alike); it stops when fewer than `least` rows would be gained.
+
+def learn_insults(rows: list[tuple[int, str, int]], purity: float = 0.995, chance: float = 0.05) -> tuple[set[str], set[str]]:
+    """Words and stems that mark toxic rows.
+
+    A key counts if its share of toxic rows is at least purity (classes weigh alike), and if it is in so many that with
+    a probability of at most `chance` any key without meaning would be in as many, and in no clean row. The shortest
+    such stems that begin three words or more are taken, and the words that none of them begins. Keys that mostly stand
+    between the same two words come from copies of one text and do not count.
     """
+    toxic_texts = [text for _, text, y in rows if y]
+    clean_texts = [text for _, text, y in rows if not y]
     toxic, clean = Counter(), Counter()
-    held: dict[str, set[int]] = defaultdict(set)
-    sets = []
-    for n, (_, text, y) in enumerate(rows):
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
-        sets.append((n, y, words | {w[:k] + "*" for w in words for k in range(4, min(len(w), 8) + 1)}))
-        (toxic if y else clean).update(sets[-1][2])
-    n_toxic = max(1, sum(y for _, _, y in rows))
-    n_clean = max(1, len(rows) - n_toxic)
-    pure = {k for k, a in toxic.items() if a >= least and a / n_toxic >= purity * (a / n_toxic + clean[k] / n_clean)}
-    for n, y, keys in sets:
-        if y:
-            for k in keys & pure:
-                held[k].add(n)
-    words: set[str] = set()
+    for text in toxic_texts:
+        toxic.update(_keys(text))
+    begun = Counter(w[:k] + "*" for w in toxic if not w.endswith("*") for k in range(4, min(len(w), 8) + 1))
+    toxic = Counter({k: n for k, n in toxic.items() if n >= 3})
+    for text in clean_texts:
+        clean.update(k for k in _keys(text) if k in toxic)
+    n_toxic, n_clean = max(1, len(toxic_texts)), max(1, len(clean_texts))
+    least = max(3, math.ceil(math.log(max(1, len(toxic)) / chance) / math.log((n_toxic + n_clean) / n_toxic)))
+    pure = [k for k, a in toxic.items() if a >= least and a / n_toxic >= purity * (a / n_toxic + clean[k] / n_clean)]
+    # Copies of one text are no independent evidence: a key must stand between different neighbours.
+    between: dict[str, set[tuple[str, str]]] = {k: set() for k in pure}
+    for text in toxic_texts:
+        tokens = TOKEN.findall(text.lower())
+        for before, word, after in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+            for k in (word, *(word[:n] + "*" for n in range(4, min(len(word), 8) + 1))):
+                if k in between:
+                    between[k].add((before, after))
+    pure = [k for k in pure if len(between[k]) >= max(least, toxic[k] / 2)]
     stems: set[str] = set()
-    while held:
-        # Ties: the longer (narrower) key, whole words before stems.
-        best = max(held, key=lambda k: (len(held[k]), not k.endswith("*"), len(k), k))
-        if len(held[best]) < least:
-            break
-        (stems if best.endswith("*") else words).add(best.rstrip("*"))
-        gone = set(held.pop(best))
-        for k in list(held):
-            held[k] -= gone
-            if len(held[k]) < least:
-                del held[k]
+    for k in sorted((k[:-1] for k in pure if k.endswith("*") and begun[k] >= 3), key=lambda k: (len(k), k)):
+        if not any(k[:n] in stems for n in range(4, len(k))):
+            stems.add(k)
+    words = {k for k in pure if not k.endswith("*") and not any(k[:n] in stems for n in range(4, min(len(k), 8) + 1))}
     return words, stems
 
 
