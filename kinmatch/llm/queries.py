@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import licenses, mixing, piece_codec, quality_cnn, sharding, substring_dedup, toxicity
+from kinmatch.llm import licenses, minhash_dedup, mixing, piece_codec, quality_cnn, sharding, substring_dedup, toxicity
 from kinmatch.llm.common import documents, held_out, labels, training_sample
 
 
@@ -51,8 +51,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), n=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op3_mixing, op4_substring_dedup, op5_quality_cnn, op6_piece_codec, op7_sharding, op8_licenses)
+    found = (op1_toxicity, op3_mixing, op4_substring_dedup, op5_quality_cnn, op6_piece_codec, op7_sharding, op8_licenses, op9_minhash_dedup)
     return {f.__name__: f for f in found}
 
 
