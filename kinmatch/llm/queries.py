@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import licenses, minhash_dedup, mixing, piece_codec, quality_cnn, sharding, substring_dedup, toxicity
-from kinmatch.llm.common import documents, held_out, labels, training_sample
+from kinmatch.llm import ann_forest, embed_dedup, licenses, minhash_dedup, mixing, piece_codec, quality_cnn, sharding, substring_dedup, toxicity
+from kinmatch.llm.common import documents, embeddings, held_out, labels, training_sample
 
 
 def _scores(scored: DataFrame) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(toxicity.score_documents(docs, grammar))
 
 
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(embeddings(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -55,8 +59,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), n=2)
 
 
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op3_mixing, op4_substring_dedup, op5_quality_cnn, op6_piece_codec, op7_sharding, op8_licenses, op9_minhash_dedup)
+    found = (op1_toxicity, op2_ann_forest, op3_mixing, op4_substring_dedup, op5_quality_cnn, op6_piece_codec, op7_sharding, op8_licenses, op9_minhash_dedup, op10_embed_dedup)
     return {f.__name__: f for f in found}
 
 
