@@ -1,14 +1,47 @@
-"""Every registered query of the entity-resolution engine, and its SQL oracle."""
+"""Every registered query of the entity-resolution engine, and the DuckDB SQL that says the same.
+
+The corpus is the entity view of the test documents (sources.records). Queries that depend on a trained model, a Python
+matcher or another random generator have no SQL and are tested on fixtures instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinmatch.functions import features as feat
+from kinmatch.functions.text import digit_tokens, join_ids, tokens
+from kinmatch.operators import audit, evaluation, exact, model, pairs, policy, retrieval, validation
+from kinmatch.operators.retrieval import CONFIGS
+from kinmatch.plans import oracle
+from kinmatch.sources import records as rec
+from kinmatch.sources import sinks
+from kinmatch.streaming import matcher
 
+PAIR = ["reference_id", "target_id"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+#: Fixed weights that stand in for trained models where a query needs an oracle.
+MODEL_A = ({"name_jaccard": 3.0, "address_jaccard": 2.0, "name_exact": 1.5, "address_exact": 1.0}, -2.5)
+MODEL_B = ({"name_jaccard": 2.5, "address_jaccard": 2.5, "name_containment": 1.0, "number_overlap": 0.5}, -2.25)
+GRID = [round(0.05 * i, 6) for i in range(21)]
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Registers a builder under its name, with its SQL body over the named common table expressions."""
+
+    def register(build):
+        _QUERIES[build.__name__] = build
+        if sql is not None:
+            _SQL[build.__name__] = oracle.statement(sql, *ctes)
+        return build
+
+    return register
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
@@ -18,5 +51,607 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.document_records(spark, sf_dir)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.document_truth(spark, sf_dir)
+
+
+def _truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.lists_of(_records(spark, sf_dir), _truth(spark, sf_dir)).select("reference_id", "ids")
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_matches(_records(spark, sf_dir), "normalized_exact").select(*PAIR)
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.candidates(_records(spark, sf_dir), CONFIGS["legacy"])
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy candidates with country and two fixed models' probabilities, rounded so thresholds fall alike everywhere."""
+    r = _records(spark, sf_dir)
+    f = feat.with_sides(_legacy(spark, sf_dir), r).select(*PAIR, *(c.alias(n) for n, c in feat.set_features().items()))
+    refs = rec.references(r).select(F.col("entity_id").alias("reference_id"), "country")
+    pa, pb = (F.round(policy.linear(*m), 9) for m in (MODEL_A, MODEL_B))
+    return f.select(*PAIR, pa.alias("pa"), pb.alias("pb")).join(refs, "reference_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Macro F0.5 of normalized exact matching, by country."""
+    return eval_by_country(spark, sf_dir)
+
+
+# Records and tokens
+
+
+@query("SELECT entity_id, source, country, name_raw, address_raw, country_norm, name_norm, address_norm, eligible FROM records", "records")
+def records_normalized(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+@query("SELECT entity_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name_raw), '[\\p{L}\\p{N}]+'))), ' ') AS tokens FROM records", "records")
+def tokens_name(spark, sf_dir):
+    return _records(spark, sf_dir).select("entity_id", F.concat_ws(" ", F.sort_array(tokens(F.col("name_raw")))).alias("tokens"))
+
+
+@query("SELECT entity_id, array_to_string(list_sort(list_distinct(regexp_extract_all(name_raw || ' ' || address_raw, '\\p{Nd}+'))), ' ') AS digits FROM records", "records")
+def digit_tokens_all(spark, sf_dir):
+    return _records(spark, sf_dir).select("entity_id", F.concat_ws(" ", F.sort_array(digit_tokens(F.concat_ws(" ", "name_raw", "address_raw")))).alias("digits"))
+
+
+@query("SELECT entity_id, name_norm FROM records ORDER BY entity_id LIMIT 5", "records")
+def preview_records(spark, sf_dir):
+    return _records(spark, sf_dir).select("entity_id", "name_norm").orderBy("entity_id").limit(5)
+
+
+@query("SELECT entity_id, name_raw FROM records WHERE source = 1 UNION ALL SELECT entity_id, name_raw FROM records WHERE source = 2 AND entity_id NOT IN (SELECT entity_id FROM records WHERE source = 1)", "records")
+def first_table_wins(spark, sf_dir):
+    r = _records(spark, sf_dir).select("entity_id", "source", "name_raw")
+    return rec.first_wins(r.where("source = 1"), r.where("source IN (1, 2)")).select("entity_id", "name_raw")
+
+
+# Audits
+
+
+@query(
+    "SELECT source, country, count(*) AS n_rows, count_if(trim(entity_id) = '') AS blank_entity_id, count_if(regexp_matches(name_raw, '^\\s*$')) AS blank_business_name, "
+    "count_if(regexp_matches(address_raw, '^\\s*$')) AS blank_business_address, count_if(trim(country) = '') AS blank_country FROM records GROUP BY source, country",
+    "records",
+)
+def file_audit(spark, sf_dir):
+    return audit.file_audit(rec.document_sources(spark, sf_dir))
+
+
+@query("SELECT n_matches, count(*) AS n_references FROM (SELECT r.entity_id, count(t.target_id) AS n_matches FROM records r LEFT JOIN truth t ON t.reference_id = r.entity_id WHERE source = 1 GROUP BY 1) GROUP BY 1", "truth")
+def match_histogram(spark, sf_dir):
+    return audit.match_histogram(_truth_lists(spark, sf_dir))
+
+
+@query(
+    "SELECT count(*) AS n_references, sum(n)::BIGINT AS links, count_if(n = 0) AS singletons, 0 AS lists_with_duplicates, 0 AS wrong_prefix, sum(s2)::BIGINT AS links_s2, sum(s3)::BIGINT AS links_s3, round(count_if(n = 0) / count(*), 9) AS empty_baseline "
+    "FROM (SELECT r.entity_id, count(t.target_id) AS n, count_if(t.target_id LIKE 'S2-%') AS s2, count_if(t.target_id LIKE 'S3-%') AS s3 FROM records r LEFT JOIN truth t ON t.reference_id = r.entity_id WHERE source = 1 GROUP BY 1)",
+    "truth",
+)
+def truth_audit(spark, sf_dir):
+    return audit.truth_audit(_truth_lists(spark, sf_dir))
+
+
+@query(
+    "SELECT name AS \"check\", n, '' AS examples FROM (VALUES ('duplicate_truth_references', 0), ('duplicate_source_ids', 0), ('truth_references_missing', 0), ('references_without_truth', 0), ('truth_targets_missing', 0), ('lists_with_duplicates', 0)) v(name, n) "
+    "UNION ALL SELECT 'multi_owner_targets', count(*), coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (k <= 5), '') FROM (SELECT target_id, row_number() OVER (ORDER BY target_id) AS k FROM truth GROUP BY target_id HAVING count(*) > 1)",
+    "truth",
+)
+def relationship_audit(spark, sf_dir):
+    return audit.relationship_audit(_records(spark, sf_dir), _truth_lists(spark, sf_dir))
+
+
+@query(
+    "SELECT count(o.owners) AS matched_targets, count(*) AS n_targets, count_if(o.owners IS NULL) AS distractors, count_if(o.owners > 1) AS multi_owner_targets FROM records r LEFT JOIN (SELECT target_id, count(DISTINCT reference_id) AS owners FROM truth GROUP BY 1) o ON o.target_id = r.entity_id WHERE source IN (2, 3)",
+    "truth",
+)
+def audit_totals(spark, sf_dir):
+    return audit.audit_totals(_records(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("SELECT name_norm, count(*) AS n FROM records GROUP BY 1 HAVING count(*) > 1", "records")
+def duplicate_ids(spark, sf_dir):
+    """The duplicate rule on a column that has duplicates."""
+    return audit.duplicate_ids(_records(spark, sf_dir), "name_norm")
+
+
+@query("SELECT target_id, count(*) AS owners FROM truth GROUP BY 1 HAVING count(*) > 1", "truth")
+def multi_owner_targets(spark, sf_dir):
+    return audit.multi_owner_targets(_truth(spark, sf_dir))
+
+
+@query("SELECT entity_id AS target_id, country FROM records WHERE source IN (2, 3) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.target_id = entity_id)", "truth")
+def distractors(spark, sf_dir):
+    return audit.distractors(_records(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("SELECT entity_id AS reference_id FROM records WHERE source = 1 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.reference_id = entity_id)", "truth")
+def missing_truth_refs(spark, sf_dir):
+    refs = rec.references(_records(spark, sf_dir)).select(F.col("entity_id").alias("reference_id"))
+    return refs.join(_truth(spark, sf_dir), "reference_id", "left_anti")
+
+
+# Splits, samples and batches
+
+
+@query("SELECT reference_id, country, match_count, bucket, split FROM split", "split")
+def stratified_split(spark, sf_dir):
+    return audit.reference_split(_records(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("SELECT country, bucket, split, count(*) AS n FROM split GROUP BY ALL", "split")
+def split_strata(spark, sf_dir):
+    return stratified_split(spark, sf_dir).groupBy("country", "bucket", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT country, bucket, count_if(split = 'train') AS train, count_if(split = 'dev') AS dev, count_if(split = 'holdout') AS holdout FROM split GROUP BY ALL", "split")
+def split_pivot(spark, sf_dir):
+    wide = stratified_split(spark, sf_dir).groupBy("country", "bucket").pivot("split", ["train", "dev", "holdout"]).count()
+    return wide.na.fill(0)
+
+
+@query("SELECT target_id, split, reference_id, source FROM target_split", "target_split")
+def target_split(spark, sf_dir):
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    return audit.target_split(r, t, audit.reference_split(r, t))
+
+
+@query()
+def verify_split(spark, sf_dir):
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    split = audit.reference_split(r, t)
+    return audit.verify_split(r, t, split, audit.target_split(r, t, split))
+
+
+@query("SELECT entity_id, country FROM records WHERE source = 1 ORDER BY sha256('2027:' || entity_id), entity_id LIMIT 100", "records")
+def seeded_sample(spark, sf_dir):
+    return audit.seeded_sample(rec.references(_records(spark, sf_dir)).select("entity_id", "country"), "entity_id", 100, 2027)
+
+
+@query("SELECT entity_id, country, ((row_number() OVER (PARTITION BY country ORDER BY entity_id) - 1) // 50)::BIGINT AS batch FROM records WHERE source = 1", "records")
+def reference_batches(spark, sf_dir):
+    return audit.batches(_records(spark, sf_dir), 50)
+
+
+# Exact matching and evaluation
+
+
+@query("SELECT rule, reference_id, target_id FROM raw_exact", "raw_exact")
+def raw_exact(spark, sf_dir):
+    return exact.exact_matches(_records(spark, sf_dir), "raw_exact")
+
+
+@query("SELECT rule, reference_id, target_id FROM normalized_exact", "normalized_exact")
+def normalized_exact(spark, sf_dir):
+    return exact.exact_matches(_records(spark, sf_dir), "normalized_exact")
+
+
+@query("SELECT reference_id, target_id FROM normalized_exact ANTI JOIN truth USING (reference_id, target_id)", "normalized_exact", "truth")
+def false_positives(spark, sf_dir):
+    return evaluation.false_positives(_truth(spark, sf_dir), _exact(spark, sf_dir))
+
+
+@query("SELECT reference_id, target_id FROM truth ANTI JOIN normalized_exact USING (reference_id, target_id)", "normalized_exact", "truth")
+def false_negatives(spark, sf_dir):
+    return evaluation.false_negatives(_truth(spark, sf_dir), _exact(spark, sf_dir))
+
+
+@query(
+    "SELECT p.reference_id, r.country, r.name_raw AS reference_name, r.address_raw AS reference_address, p.target_id, t.name_raw AS target_name, t.address_raw AS target_address FROM normalized_exact p "
+    "ANTI JOIN truth USING (reference_id, target_id) JOIN records r ON r.entity_id = p.reference_id JOIN records t ON t.entity_id = p.target_id ORDER BY p.reference_id, p.target_id LIMIT 10",
+    "normalized_exact",
+    "truth",
+)
+def error_examples(spark, sf_dir):
+    return evaluation.error_examples(_records(spark, sf_dir), false_positives(spark, sf_dir))
+
+
+def _evaluation(spark, sf_dir):
+    return evaluation.by_reference(_records(spark, sf_dir), _truth(spark, sf_dir), _exact(spark, sf_dir))
+
+
+@query("SELECT reference_id, country, true_count, predicted_count, tp, fp, fn, score FROM evaluation", "evaluation")
+def eval_by_reference(spark, sf_dir):
+    return _evaluation(spark, sf_dir)
+
+
+@query(f"SELECT {oracle.SUMMARY} FROM evaluation", "evaluation")
+def eval_summary(spark, sf_dir):
+    return evaluation.summary(_evaluation(spark, sf_dir))
+
+
+@query(f"SELECT country, {oracle.SUMMARY} FROM evaluation GROUP BY country", "evaluation")
+def eval_by_country(spark, sf_dir):
+    return evaluation.summary(_evaluation(spark, sf_dir), "country")
+
+
+@query(
+    "SELECT substr(target_id, 1, 2) AS source, count_if(p AND t) AS tp, count_if(t IS NULL) AS fp, count_if(p IS NULL) AS fn FROM (SELECT reference_id, target_id, true AS p FROM normalized_exact) FULL JOIN (SELECT *, true AS t FROM truth) USING (reference_id, target_id) GROUP BY 1",
+    "normalized_exact",
+    "truth",
+)
+def eval_by_source(spark, sf_dir):
+    return evaluation.by_source(_truth(spark, sf_dir), _exact(spark, sf_dir))
+
+
+@query(
+    "SELECT r.country, count(*) AS true_links, count_if(c.target_id IS NULL) AS retrieval_fn, count_if(c.target_id IS NOT NULL AND p.target_id IS NULL) AS classifier_fn FROM truth t JOIN records r ON r.entity_id = t.reference_id "
+    "LEFT JOIN candidates_legacy c USING (reference_id, target_id) LEFT JOIN normalized_exact p USING (reference_id, target_id) GROUP BY 1",
+    "candidates_legacy",
+    "normalized_exact",
+    "truth",
+)
+def error_attribution(spark, sf_dir):
+    return evaluation.error_attribution(_records(spark, sf_dir), _truth(spark, sf_dir), _legacy(spark, sf_dir), _exact(spark, sf_dir), "country")
+
+
+@query("SELECT round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 1.25 * tp / (1.25 * tp + fp + 0.25 * fn) END, 9) AS pooled_f05 FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM evaluation)", "evaluation")
+def pooled_f05(spark, sf_dir):
+    return _evaluation(spark, sf_dir).agg(F.round(evaluation.pooled_f05(F.sum("tp"), F.sum("fp"), F.sum("fn")), 9).alias("pooled_f05"))
+
+
+# Retrieval
+
+
+@query("SELECT country, field, token, df, n FROM frequency", "frequency")
+def document_frequency(spark, sf_dir):
+    return retrieval.document_frequency(_records(spark, sf_dir))
+
+
+@query("SELECT country, field, token, df, round(idf, 9) AS idf FROM idf5000", "idf5000")
+def idf(spark, sf_dir):
+    return retrieval.idf(_records(spark, sf_dir), CONFIGS["legacy"]).withColumn("idf", F.round("idf", 9))
+
+
+@query("SELECT reference_id, field, token, rank FROM asked5000", "asked5000")
+def query_tokens_top5(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return retrieval.query_tokens(r, retrieval.idf(r, CONFIGS["legacy"]), CONFIGS["legacy"]).select("reference_id", "field", "token", "rank")
+
+
+def _route(spark, sf_dir, field):
+    return retrieval.top_candidates(retrieval.token_scores(_records(spark, sf_dir), CONFIGS["legacy"]).where(F.col("field") == field), 50).select(*PAIR, "score", "rank")
+
+
+@query("SELECT reference_id, target_id, score, rank FROM ranked5000 WHERE field = 'name' AND rank <= 50", "ranked5000")
+def candidates_name(spark, sf_dir):
+    return _route(spark, sf_dir, "name")
+
+
+@query("SELECT reference_id, target_id, score, rank FROM ranked5000 WHERE field = 'address' AND rank <= 50", "ranked5000")
+def candidates_address(spark, sf_dir):
+    return _route(spark, sf_dir, "address")
+
+
+@query("SELECT reference_id, target_id FROM exact_both", "exact_both")
+def candidates_exact_both(spark, sf_dir):
+    return retrieval.exact_both(_records(spark, sf_dir))
+
+
+@query("SELECT reference_id, target_id FROM candidates_legacy", "candidates_legacy")
+def candidates_legacy(spark, sf_dir):
+    return _legacy(spark, sf_dir)
+
+
+@query("SELECT reference_id, target_id FROM joint5000 WHERE rank <= 50 UNION SELECT reference_id, target_id FROM exact_both", "joint5000", "exact_both")
+def candidates_joint(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["legacy"], joint=True))
+
+
+#: At this scale only a small cap has buckets beyond it.
+CAP = 10
+
+
+@query("SELECT reference_id, target_id FROM capped_name", "capped_name")
+def candidates_exact_name_capped(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return retrieval.exact_capped(r, retrieval.token_scores(r, CONFIGS["legacy"]), "name", CAP)
+
+
+@query("SELECT reference_id, target_id FROM capped_address", "capped_address")
+def candidates_exact_address_capped(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return retrieval.exact_capped(r, retrieval.token_scores(r, CONFIGS["legacy"]), "address", CAP)
+
+
+_CAPPED = "UNION SELECT reference_id, target_id FROM exact_both UNION SELECT reference_id, target_id FROM capped_name UNION SELECT reference_id, target_id FROM capped_address"
+
+
+@query(f"SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50 {_CAPPED}", "ranked5000", "exact_both", "capped_name", "capped_address")
+def candidates_exact_buckets(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["exact_buckets"], exact_cap=CAP))
+
+
+@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
+def candidates_joint_scoring(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["joint_scoring"], exact_cap=CAP))
+
+
+@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
+def candidates_df20k(spark, sf_dir):
+    """No country of the test tables has so many targets that the two caps differ."""
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["df20k"], exact_cap=CAP))
+
+
+@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
+def candidates_k100(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["k100"], exact_cap=CAP))
+
+
+@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
+def candidates_df20k_k100(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["df20k_k100"], exact_cap=CAP))
+
+
+@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 UNION SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "ranked5000", "exact_both", "capped_name", "capped_address")
+def candidates_union_baseline(spark, sf_dir):
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["union_baseline"], exact_cap=CAP))
+
+
+def _quality(k):
+    def build(spark, sf_dir):
+        r = _records(spark, sf_dir)
+        return evaluation.retrieval_quality(r, _truth(spark, sf_dir), retrieval.candidates(r, replace(CONFIGS["legacy"], top_candidates=k)))
+
+    build.__name__ = f"retrieval_quality_k{k}"
+    return query(oracle.quality(k), "ranked5000", "exact_both", "truth")(build)
+
+
+retrieval_quality_k10, retrieval_quality_k50, retrieval_quality_k100 = map(_quality, (10, 50, 100))
+
+
+@query(
+    "SELECT r.country, round(avg(CASE WHEN g = 0 THEN 1.0 ELSE 1.25 * h / (h + 0.25 * g) END), 9) AS oracle_macro_f05 FROM (SELECT r.entity_id, r.country, count(t.target_id) AS g, count(c.target_id) AS h FROM records r LEFT JOIN truth t ON t.reference_id = r.entity_id "
+    "LEFT JOIN candidates_legacy c ON c.reference_id = t.reference_id AND c.target_id = t.target_id WHERE r.source = 1 GROUP BY 1, 2) r GROUP BY 1",
+    "candidates_legacy",
+    "truth",
+)
+def candidate_oracle(spark, sf_dir):
+    per = evaluation.by_reference(_records(spark, sf_dir), _truth(spark, sf_dir), _legacy(spark, sf_dir))
+    return evaluation.summary(per, "country").select("country", F.col("candidate_oracle_macro_f05").alias("oracle_macro_f05"))
+
+
+# Features
+
+
+def _features(spark, sf_dir, *names):
+    sided = feat.with_sides(_legacy(spark, sf_dir), _records(spark, sf_dir))
+    columns = feat.set_features()
+    return sided.select(*PAIR, *(F.round(columns[n], 9).alias(n) for n in names))
+
+
+def _feature_query(name: str, *names: str):
+    def build(spark, sf_dir):
+        return _features(spark, sf_dir, *names)
+
+    build.__name__ = name
+    return query(f"SELECT reference_id, target_id, {', '.join(f'round({n}, 9) AS {n}' for n in names)} FROM features", "features")(build)
+
+
+features_token = _feature_query("features_token", "name_jaccard", "address_jaccard", "name_containment", "address_containment")
+features_number = _feature_query("features_number", *[n for n in feat.FEATURES if "number" in n])
+features_exact_missing = _feature_query("features_exact_missing", "name_exact", "address_exact", "name_missing", "address_missing")
+features_interaction = _feature_query("features_interaction", "name_jaccard_x_address_missing", "name_containment_x_address_missing")
+
+
+@query()
+def features_sequence(spark, sf_dir):
+    return feat.char_features(feat.with_sides(_exact(spark, sf_dir), _records(spark, sf_dir))).select(*PAIR, "name_char", "address_char")
+
+
+@query()
+def features_all22(spark, sf_dir):
+    return feat.features(_legacy(spark, sf_dir), _records(spark, sf_dir))
+
+
+# Pairs and policies
+
+
+@query("SELECT c.reference_id, c.target_id, (t.target_id IS NOT NULL)::INT AS y FROM candidates_legacy c LEFT JOIN truth t USING (reference_id, target_id)", "candidates_legacy", "truth")
+def pairs_labeled(spark, sf_dir):
+    return pairs.labelled(_legacy(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("SELECT c.reference_id, c.target_id, r.name_raw AS reference_name, t.name_raw AS target_name FROM candidates_legacy c JOIN records r ON r.entity_id = reference_id JOIN records t ON t.entity_id = target_id", "candidates_legacy")
+def pairs_text(spark, sf_dir):
+    return pairs.with_text(_legacy(spark, sf_dir), _records(spark, sf_dir)).select(*PAIR, F.col("reference.name_raw").alias("reference_name"), F.col("target.name_raw").alias("target_name"))
+
+
+@query("SELECT c.reference_id, c.target_id, (x.target_id IS NOT NULL)::INT AS hit FROM candidates_legacy c LEFT JOIN normalized_exact x USING (reference_id, target_id)", "candidates_legacy", "normalized_exact")
+def cache_hits(spark, sf_dir):
+    return pairs.cached(_legacy(spark, sf_dir), _exact(spark, sf_dir).withColumn("p", F.lit(1.0)), "p").drop("p")
+
+
+@query("SELECT reference_id, n, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM (SELECT entity_id AS reference_id, count(c.target_id) AS n, sum(count(c.target_id)) OVER (ORDER BY entity_id) AS stop FROM records LEFT JOIN candidates_legacy c ON c.reference_id = entity_id WHERE source = 1 GROUP BY entity_id)", "candidates_legacy")
+def csr_offsets(spark, sf_dir):
+    return pairs.offsets(_records(spark, sf_dir), _legacy(spark, sf_dir))
+
+
+@query("SELECT reference_id, target_id FROM scored WHERE pa >= 0.362", "scored")
+def linear_score_policy(spark, sf_dir):
+    return policy.thresholded(_scored(spark, sf_dir), 0.362, "pa")
+
+
+@query("SELECT reference_id, target_id FROM scored WHERE CASE WHEN country = 'fr' THEN pb >= 0.665 ELSE (pa + pb) / 2 >= 0.6 END", "scored")
+def blend_policy(spark, sf_dir):
+    return policy.final_policy(_scored(spark, sf_dir), "fr")
+
+
+@query("SELECT reference_id, target_id FROM scored WHERE CASE WHEN country = 'es' THEN pa >= 0.362 ELSE pb >= 0.665 END", "scored")
+def hybrid_policy(spark, sf_dir):
+    return policy.hybrid_policy(_scored(spark, sf_dir), "es")
+
+
+@query("SELECT x.reference_id, x.target_id FROM raw_exact x JOIN records ON entity_id = reference_id WHERE country = 'es' UNION ALL SELECT x.reference_id, x.target_id FROM normalized_exact x JOIN records ON entity_id = reference_id WHERE country <> 'es'", "raw_exact", "normalized_exact")
+def hybrid_sets(spark, sf_dir):
+    return pairs.hybrid(_records(spark, sf_dir), {"es": "raw"}, "norm", raw=raw_exact(spark, sf_dir), norm=normalized_exact(spark, sf_dir))
+
+
+@query(oracle.sweep("pa", GRID), "scored", "truth")
+def threshold_sweep(spark, sf_dir):
+    return policy.sweep(_records(spark, sf_dir), _truth(spark, sf_dir), _scored(spark, sf_dir), GRID, "pa")
+
+
+@query(f"SELECT * FROM ({oracle.sweep('pa', GRID)}) ORDER BY macro_f05 DESC, threshold LIMIT 1", "scored", "truth")
+def tuned_threshold(spark, sf_dir):
+    return policy.pick(threshold_sweep(spark, sf_dir))
+
+
+@query(oracle.blend_grid([0.0, 0.5, 1.0], GRID), "scored", "truth")
+def blend_grid(spark, sf_dir):
+    return policy.blend_grid(_records(spark, sf_dir), _truth(spark, sf_dir), _scored(spark, sf_dir), [0.0, 0.5, 1.0], GRID)
+
+
+@query(oracle.country_grid(GRID), "scored", "truth")
+def country_grid(spark, sf_dir):
+    return policy.country_grid(_records(spark, sf_dir), _truth(spark, sf_dir), _scored(spark, sf_dir), GRID)
+
+
+def _model_pairs(spark, sf_dir):
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    made = retrieval.candidates(r, replace(CONFIGS["legacy"], top_candidates=10))
+    return pairs.labelled(feat.features(made, r, 6), t)
+
+
+@query()
+def lr_scores(spark, sf_dir):
+    rows = _model_pairs(spark, sf_dir)
+    return model.probabilities(model.logistic(rows, feat.FEATURES[:6], rounds=50), rows, feat.FEATURES[:6]).select(*PAIR, "p")
+
+
+@query()
+def gbt_scores(spark, sf_dir):
+    rows = _model_pairs(spark, sf_dir)
+    return model.probabilities(model.boosted(rows, feat.FEATURES[:6], depth=3, rounds=5), rows, feat.FEATURES[:6]).select(*PAIR, "p")
+
+
+# Comparisons and fingerprints
+
+
+def _two_evaluations(spark, sf_dir):
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    return tuple(evaluation.by_reference(r, t, exact.exact_matches(r, rule)) for rule in ("normalized_exact", "raw_exact"))
+
+
+@query(
+    "SELECT a.country, count(*) AS \"references\", round(avg(a.score - b.score), 9) AS mean_delta, count_if(a.score - b.score > 1e-5) AS wins, count_if(a.score - b.score < -1e-5) AS losses, count_if(abs(a.score - b.score) <= 1e-5) AS ties FROM evaluation a JOIN raw_evaluation b USING (reference_id) GROUP BY 1",
+    "evaluation",
+    "raw_evaluation",
+)
+def paired_comparison(spark, sf_dir):
+    return evaluation.paired_comparison(*_two_evaluations(spark, sf_dir), "country")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return evaluation.bootstrap_interval(*_two_evaluations(spark, sf_dir))
+
+
+@query("SELECT country, count(*) AS \"references\", count_if(a <> b) AS changed FROM (SELECT entity_id, country, coalesce(x.ids, '') AS a, coalesce(y.ids, '') AS b FROM records LEFT JOIN (SELECT reference_id, string_agg(target_id, ',' ORDER BY target_id) AS ids FROM raw_exact GROUP BY 1) x ON x.reference_id = entity_id LEFT JOIN (SELECT reference_id, string_agg(target_id, ',' ORDER BY target_id) AS ids FROM normalized_exact GROUP BY 1) y ON y.reference_id = entity_id WHERE source = 1) GROUP BY 1", "raw_exact", "normalized_exact")
+def change_counts(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return evaluation.change_counts(*(evaluation.lists_of(r, exact.exact_matches(r, rule)) for rule in ("raw_exact", "normalized_exact")))
+
+
+@query("SELECT count(*) AS n, bit_xor(('0x' || substr(sha256(reference_id || '|' || ids), 1, 15))::BIGINT) AS digest FROM matching", "matching")
+def prediction_fingerprint(spark, sf_dir):
+    return evaluation.fingerprint(evaluation.lists_of(_records(spark, sf_dir), _exact(spark, sf_dir)))
+
+
+@query()
+def ordered_fingerprint(spark, sf_dir):
+    return evaluation.ordered_fingerprint(_exact(spark, sf_dir), *PAIR)
+
+
+# Outputs and their checks
+
+
+@query("SELECT reference_id AS source1_entity_id, ids AS matched_entity_ids FROM matching", "matching")
+def matching_results(spark, sf_dir):
+    return sinks.list_rows(_records(spark, sf_dir), _exact(spark, sf_dir))
+
+
+@query("SELECT entity_id AS source1_entity_id, coalesce(string_agg(c.target_id, ',' ORDER BY c.target_id), '') AS candidate_entity_ids FROM records LEFT JOIN candidates_legacy c ON c.reference_id = entity_id WHERE source = 1 GROUP BY 1", "candidates_legacy")
+def candidate_pairs(spark, sf_dir):
+    return sinks.list_rows(_records(spark, sf_dir), _legacy(spark, sf_dir), "candidate_entity_ids")
+
+
+@query(oracle.SUBMISSION, "truth")
+def submission_checks(spark, sf_dir):
+    """The validator on the truth lists of the references whose number is even, with one line spoiled on purpose."""
+    r = _records(spark, sf_dir)
+    lists = sinks.list_rows(r, _truth(spark, sf_dir)).where("cast(substring(source1_entity_id, 4) AS int) % 2 = 0")
+    lines = lists.select(F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("value"))
+    refs = rec.references(r).select(F.col("entity_id").alias("reference_id"))
+    return validation.submission(lines, refs, rec.targets(r).select(F.col("entity_id").alias("target_id")))
+
+
+@query("SELECT name AS \"check\", 0 AS n, '' AS examples FROM (VALUES ('matches_missing'), ('candidates_missing'), ('not_expected'), ('duplicate_match_rows'), ('duplicate_candidate_rows'), ('match_not_in_candidates')) v(name)")
+def coverage_checks(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    both = [evaluation.lists_of(r, p).select("reference_id", "ids") for p in (_exact(spark, sf_dir), _legacy(spark, sf_dir).unionByName(_exact(spark, sf_dir)).distinct())]
+    return validation.coverage(rec.references(r).select(F.col("entity_id").alias("reference_id")), *both)
+
+
+@query("SELECT coalesce(a.reference_id, b.reference_id) AS reference_id FROM (SELECT reference_id, list_sort(list(target_id)) AS ids FROM raw_exact GROUP BY 1) a FULL JOIN (SELECT reference_id, list_sort(list(target_id)) AS ids FROM normalized_exact GROUP BY 1) b USING (reference_id) WHERE a.ids IS DISTINCT FROM b.ids", "raw_exact", "normalized_exact")
+def candidate_identity(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    a, b = (evaluation.lists_of(r, exact.exact_matches(r, rule)).where(F.size("ids") > 0) for rule in ("raw_exact", "normalized_exact"))
+    return validation.same_candidates(a, b)
+
+
+@query("SELECT name AS \"check\", 0 AS n, '' AS examples FROM (VALUES ('label_not_binary'), ('feature_not_finite'), ('label_is_not_membership'), ('repeated_pairs')) v(name)")
+def packet_checks(spark, sf_dir):
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    names = list(feat.set_features())
+    rows = feat.with_sides(_legacy(spark, sf_dir), r).select(*PAIR, *(c.alias(n) for n, c in feat.set_features().items()))
+    return validation.packet(pairs.labelled(rows, t), t, names=names)
+
+
+@query("SELECT reference_id, target_id FROM candidates_legacy", "candidates_legacy")
+def stream_matches(spark, sf_dir):
+    """The streaming matcher over the same references gives the batch result."""
+    import tempfile
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kinmatch-")
+    at = f"{root.rstrip('/')}/kinmatch-stream-{spark.sparkContext.applicationId}-{len(_STREAMS)}"
+    _STREAMS.append(at)
+    r = _records(spark, sf_dir)
+    rec.references(r).write.parquet(f"{at}/in")
+    config = CONFIGS["legacy"]
+    matcher.match_stream(spark, f"{at}/in", r, f"{at}/out", config, matcher.run_identity(config, source=sf_dir)).awaitTermination()
+    return matcher.matched(spark, f"{at}/out")
+
+
+_STREAMS: list[str] = []
+
+
+@query("SELECT reference_id, array_to_string(list_sort(list(target_id)), ',') AS ids FROM truth GROUP BY 1", "truth")
+def truth_lists(spark, sf_dir):
+    return _truth(spark, sf_dir).groupBy("reference_id").agg(join_ids(F.collect_list("target_id")).alias("ids"))
+
+
+# Generic audits on tables that are no entity data
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def events_distinct_kinds(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def orders_duplicate_customers(spark, sf_dir):
+    return audit.duplicate_ids(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey")
+
+
+@query("SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS \"O\", sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS \"F\" FROM lineitem GROUP BY 1")
+def lineitem_pivot(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.sum("l_quantity"))
