@@ -5,9 +5,11 @@ that agree on a whole band are candidates. Their signatures (one byte a minhash)
 candidate is dropped as soon as the posterior probability that its similarity reaches the threshold falls below MISS.
 Survivors are confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. First every member meets the bucket's smallest id. Then, while a bucket still
-holds several components, its members are compared with those of other components only, in blocks of bounded size, and
-only the most similar survivors of a member are sent on; a last round sends all that are left.
+No bucket is expanded into its pairs. First every member meets the bucket's smallest id; confirmed links make
+components. Then, where a bucket holds several components, the signatures of its members are compared across components,
+in blocks of bounded size, and what is sent on is that a document may be linked with a component - one row, however many
+of its members are alike. Such a document meets all members of that component, again in blocks, with the texts at hand,
+until one link is confirmed. So every link between components is found, if not each of several.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ SIZE = BANDS * ROWS
 BATCH, MISS = 40, 1e-4
 #: Side of a block of bucket members that are compared at once.
 BLOCK = 256
-#: Survivors a member, component and block that a round sends on; None: all.
-SURVIVORS = (4, None)
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -153,60 +153,66 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("a")).take(at), batch.column(batch.schema.get_field_index("b")).take(at)], names=["a", "b"])
 
 
-def _compare_blocks(frames: Iterator[pa.RecordBatch], threshold: float, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows of (task, side, id, component, size, marks, band), sorted by task: compares side 0 with side 1 of each task.
-
-    A pair counts only in the first band that both share, and only between components.
-    """
-    out_a: list[int] = []
-    out_b: list[int] = []
-
-    def compare(rows: list[tuple]) -> None:
-        left = [r for r in rows if r[1] == 0]
-        right = [r for r in rows if r[1] == 1]
-        if not left or not right:
-            return
-        band = left[0][6]
-        xs, ys = (np.frombuffer(b"".join(r[5] for r in side), np.uint8).reshape(-1, SIZE) for side in (left, right))
-        ids, comps, sizes = (np.array([r[k] for r in right]) for k in (2, 3, 4))
-        for r, x in zip(left, xs):
-            able = np.flatnonzero((comps != r[3]) & (np.minimum(sizes, r[4]) >= threshold * np.maximum(sizes, r[4]) - 1e-9))
-            if not len(able):
-                continue
-            y = ys[able]
-            alive, matches = plausible(np.broadcast_to(x, y.shape), y, threshold)
-            if band and len(alive):
-                shared = (y[alive, : band * ROWS] == x[: band * ROWS]).reshape(len(alive), band, ROWS).all(2).any(1)
-                alive = alive[~shared]
-            if most is not None and len(alive) > most:
-                order = alive[np.lexsort((ids[able[alive]], -matches[alive]))]
-                seen: dict[int, int] = {}
-                kept = []
-                for k in order.tolist():
-                    c = int(comps[able[k]])
-                    if seen.get(c, 0) < most:
-                        seen[c] = seen.get(c, 0) + 1
-                        kept.append(k)
-                alive = np.array(kept, int)
-            for other in ids[able[alive]].tolist():
-                out_a.append(min(r[2], other))
-                out_b.append(max(r[2], other))
-
+def _tasks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """The rows of side 0 and side 1 of each task, from rows sorted by task; the first two columns are task and side."""
     task, rows = None, []
-    for batch in frames:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("task", "side", "id", "component", "n", "marks", "band")]
-        for row in zip(*columns):
+    for batch in batches:
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)):
             if row[0] != task:
-                compare(rows)
+                if rows:
+                    yield [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
                 task, rows = row[0], []
             rows.append(row)
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-            out_a.clear()
-            out_b.clear()
-    compare(rows)
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    if rows:
+        yield [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+
+
+def _marks(rows: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), np.uint8).reshape(-1, SIZE)
+
+
+def _alike(sizes: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    return np.minimum(sizes, size) >= threshold * np.maximum(sizes, size) - 1e-9
+
+
+def _pairs(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=names)
+
+
+def _near_components(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Blocks of a bucket: which documents of side 0 may be linked with which other components of side 1."""
+    for left, right in _tasks(batches, ("task", "side", "id", "component", "n", "marks")):
+        if not left or not right:
+            continue
+        comps, sizes = np.array([r[3] for r in right]), np.array([r[4] for r in right])
+        ys, found = _marks(right, 5), []
+        for r, x in zip(left, _marks(left, 5)):
+            able = np.flatnonzero((comps != r[3]) & _alike(sizes, r[4], threshold))
+            alive, _ = plausible(np.broadcast_to(x, (len(able), SIZE)), ys[able], threshold)
+            found += [(r[2], c) for c in np.unique(comps[able[alive]]).tolist()]
+        yield _pairs(found, ["id", "component"])
+
+
+def _first_links(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of one component (side 1) and documents that may be linked with it: a confirmed link of each, if there is one."""
+    for left, right in _tasks(batches, ("task", "side", "id", "n", "marks", "text")):
+        if not left or not right:
+            continue
+        sizes, ys, found = np.array([r[3] for r in right]), _marks(right, 4), []
+        sets: dict[int, np.ndarray] = {}
+        for r, x in zip(left, _marks(left, 4)):
+            able = np.flatnonzero(_alike(sizes, r[3], percent / 100))
+            alive, matches = plausible(np.broadcast_to(x, (len(able), SIZE)), ys[able], percent / 100)
+            own = shingles(r[5], n) if len(alive) else None
+            for k in alive[np.argsort(-matches[alive], kind="stable")].tolist():
+                at = int(able[k])
+                if at not in sets:
+                    sets[at] = shingles(right[at][5], n)
+                both = len(np.intersect1d(own, sets[at], assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(sets[at]) - both):
+                    found.append((r[2], right[at][2]))
+                    break
+        yield _pairs(found, ["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -215,6 +221,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(lambda b: _confirm(b, n, percent), "a long, b long")
 
 
+def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of two sides of each key, dealt to tasks of bounded size: `near` blocks of the left by `far` of the right."""
+    own = F.xxhash64("doc_id")
+    other = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    task = lambda a, b: F.xxhash64(key, a.cast("long"), b.cast("long")).alias("task")
+    kept = [c for c in left.columns if c not in (key, "near", "far")]
+    first = left.withColumn("other", other("far")).select(task(F.pmod(own, F.col("near")), F.col("other")), F.lit(0).alias("side"), *kept)
+    second = right.withColumn("other", other("near")).select(task(F.col("other"), F.pmod(own, F.col("far"))), F.lit(1).alias("side"), *kept)
+    return first.unionByName(second)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, n_shingles, component_id (smallest id reachable by links, itself included), kept.
 
@@ -248,32 +265,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     pairs = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("marks").alias("x")).hint("merge"), "a")
     pairs = pairs.join(marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("marks").alias("y")).hint("merge"), "b")
     survivors = held.table(pairs.mapInArrow(lambda b: _prune(b, threshold), "a long, b long"), "survivors")
-    # Members of two classes with one id are linked through that id.
-    edges = held.table(_confirmed(survivors, texts, n, percent), "links").unionByName(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    found = held.table(components(edges, held), "components")
-
-    # Further rounds: members of buckets that hold several components, across components only.
-    for number, most in enumerate(SURVIVORS):
-        placed = shared.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        open_ = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-        work = placed.join(open_.hint("merge"), "bucket").withColumn("others", F.ceil(F.col("others") / BLOCK)).withColumn("size", F.ceil(F.col("size") / BLOCK))
-        # Those outside of the bucket's main component meet all, block by block.
-        rest, own = F.col("component") != F.col("main"), F.xxhash64("doc_id")
-        far = F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1))
-        left = work.where(rest).withColumn("far", far).select(F.xxhash64("bucket", F.pmod(own, F.col("others")), F.col("far").cast("long")).alias("task"), F.lit(0).alias("side"), "doc_id", "component", "band")
-        near = F.explode(F.sequence(F.lit(0), F.col("others").cast("int") - 1))
-        right = work.withColumn("near", near).select(F.xxhash64("bucket", F.col("near").cast("long"), F.pmod(own, F.col("size"))).alias("task"), F.lit(1).alias("side"), "doc_id", "component", "band")
-        sides = left.unionByName(right).join(marks.hint("merge"), "doc_id").select("task", "side", F.col("doc_id").alias("id"), "component", F.col("n_shingles").alias("n"), "marks", "band")
-        sides = sides.repartition("task").sortWithinPartitions("task", "side", "id")
-        more = held.table(sides.mapInArrow(lambda b, most=most: _compare_blocks(b, threshold, most), "a long, b long").distinct(), "survivors")
-        links = held.table(_confirmed(more, texts, n, percent), "links")
-        if links.isEmpty():
-            if number and most is None:
-                break
-            continue
-        edges = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links)
-        found = held.table(components(edges, held), "components")
+    links = held.table(_confirmed(survivors, texts, n, percent), "links")
+    found = held.table(components(links, held), "components")
+
+    # Second round: across the components that meet in a bucket.
+    placed = shared.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    work = placed.join(open_.hint("merge"), "bucket").withColumn("near", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("far", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # Those outside of the bucket's main component meet all.
+    sides = _sides(work.where("component <> main").select("bucket", "near", "far", "doc_id", "component"), work.select("bucket", "near", "far", "doc_id", "component"), "bucket")
+    sides = sides.join(marks.hint("merge"), "doc_id").select("task", "side", F.col("doc_id").alias("id"), "component", F.col("n_shingles").alias("n"), "marks")
+    sides = sides.repartition("task").sortWithinPartitions("task", "side", "id")
+    near = held.table(sides.mapInArrow(lambda b: _near_components(b, threshold), "id long, component long").distinct(), "near")
+
+    sizes = reps.select("doc_id").join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    asked = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("near"))
+    inside = sizes.join(asked.hint("merge"), "component")
+    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far"), F.first("near").alias("near"))
+    wide = lambda rows: rows.join(blocks.hint("merge"), "component").select("component", "near", "far", "doc_id")
+    sides = _sides(wide(near.withColumnRenamed("id", "doc_id")), wide(sizes), "component")
+    sides = sides.join(marks.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id").select("task", "side", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "marks", "text")
+    sides = sides.repartition("task").sortWithinPartitions("task", "side", "id")
+    more = sides.mapInArrow(lambda b: _first_links(b, n, percent), "a long, b long")
+    links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+    found = held.table(components(links, held), "components")
 
     reached = members.join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
     reached = reached.select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
