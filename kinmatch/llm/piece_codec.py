@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -295,7 +296,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        for batch in batches:
+        # Ids of a batch's texts are held at once, so batches are cut small when they are kept.
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)) if keep else batches:
             rows = ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
                 n, ids, decoded = own.described(text or "")
@@ -303,7 +305,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep:
-                    rows[3].append([int(i) for i in ids.split(",")] if ids else [])
+                    rows[3].append(np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32))
                     rows[4].append(decoded)
             out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             if keep:
