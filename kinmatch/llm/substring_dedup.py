@@ -27,25 +27,31 @@ WINDOW = 13
 ANCHOR = 4
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, reach hash, first and last window start of each maximal run of windows that chose the same anchor;
-    and the hash of each window. Empty for fewer words than a window."""
+def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, reach hash, first and last window start of each maximal run of windows that chose the same anchor.
+
+    Empty for fewer words than a window.
+    """
     n = len(hashes) - window + 1
     if n <= 0:
-        none = np.empty(0, np.uint64)
-        return none, none, np.empty(0, int), np.empty(0, int), none
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int)
     at = np.arange(len(hashes) - anchor + 1)
-    seeds = wordhash.runs(hashes, at, at + anchor)
-    span = window - anchor + 1
-    views = np.lib.stride_tricks.sliding_window_view(seeds, span)
-    chosen = np.arange(n) + views.argmin(1)
+    chosen = wordhash.sliding_min(wordhash.runs(hashes, at, at + anchor), window - anchor + 1)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     last = np.r_[first[1:], n] - 1
-    reach = wordhash.runs(hashes, first, last + window, 1)
-    # The anchor's place inside its reach belongs to the key.
-    reach = wordhash.mix(reach + (chosen[first] - first).astype(np.uint64))
-    starts = np.arange(n)
-    return seeds[chosen[first]], reach, first, last, wordhash.runs(hashes, starts, starts + window, 1)
+    return chosen[first], wordhash.runs(hashes, first, last + window, 1), first, last
+
+
+def _different(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and reach of each different reach of a text; a reach holds its anchor."""
+    seed, reach, *_ = anchors(hashes, window)
+    reach, at = np.unique(reach, return_index=True)
+    return seed[at], reach
+
+
+def _windows(hashes: np.ndarray, window: int) -> np.ndarray:
+    at = np.arange(max(0, len(hashes) - window + 1))
+    return wordhash.runs(hashes, at, at + window, 1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -62,10 +68,7 @@ def _count_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
     for batch in batches:
         found = [np.empty(0, np.uint64)]
         for text in batch.column(1).to_pylist():
-            seed, reach, *_ = anchors(wordhash.words(text)[0], window)
-            # one count for each different reach of an anchor in a document
-            pairs = np.unique(np.stack([seed, reach]), axis=1) if len(seed) else np.empty((2, 0), np.uint64)
-            found.append(pairs[0])
+            found.append(_different(wordhash.words(text)[0], window)[0])  # one count for each reach in a document
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         if len(keys):
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["seed", "n"])
@@ -75,9 +78,7 @@ def _list_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     for batch in batches:
         seeds, reaches, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
         for text in batch.column(1).to_pylist():
-            seed, reach, *_ = anchors(wordhash.words(text)[0], window)
-            if len(seed):
-                seed, reach = np.unique(np.stack([seed, reach]), axis=1)
+            seed, reach = _different(wordhash.words(text)[0], window)
             seeds.append(seed)
             reaches.append(reach)
             sizes.append(len(seed))
@@ -91,7 +92,9 @@ def _list_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         out, sizes = [np.empty(0, np.uint64)], []
         open_at = batch.schema.get_field_index("open")
         for row, text in enumerate(batch.column(1).to_pylist()):
-            _, reach, first, last, all_windows = anchors(wordhash.words(text)[0], window)
+            hashes = wordhash.words(text)[0]
+            _, reach, first, last = anchors(hashes, window)
+            all_windows = _windows(hashes, window)
             wanted = np.isin(reach, _list(batch.column(open_at), row))
             marks = np.zeros(len(all_windows) + 1, int)
             np.add.at(marks, first[wanted], 1)
@@ -105,17 +108,21 @@ def _list_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _remove(text: str, reaches: np.ndarray, windows: np.ndarray, window: int) -> tuple[int, int, bytes]:
     """Words, removed words, and the kept words joined by one space."""
+    data = text.encode("utf-8", "surrogatepass")
+    if not len(reaches) and not len(windows):
+        parts = data.split()  # of bytes: at ASCII white space
+        return len(parts), 0, b" ".join(parts)
     hashes, starts, ends = wordhash.words(text)
-    _, reach, first, last, all_windows = anchors(hashes, window)
+    _, reach, first, last = anchors(hashes, window)
     marks = np.zeros(len(hashes) + 1, int)
     known = np.isin(reach, reaches)
     np.add.at(marks, first[known], 1)
     np.add.at(marks, last[known] + window, -1)
-    single = np.flatnonzero(np.isin(all_windows, windows))
-    np.add.at(marks, single, 1)
-    np.add.at(marks, single + window, -1)
+    if len(windows):
+        single = np.flatnonzero(np.isin(_windows(hashes, window), windows))
+        np.add.at(marks, single, 1)
+        np.add.at(marks, single + window, -1)
     keep = np.cumsum(marks)[:-1] <= 0
-    data = text.encode("utf-8", "surrogatepass")
     kept = b" ".join([data[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())])
     return len(hashes), int(len(hashes) - keep.sum()), kept
 

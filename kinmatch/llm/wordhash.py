@@ -41,10 +41,22 @@ def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int =
     """The hash of values[start:end] for each pair; of equal runs it is equal, wherever they stand."""
     power, inverse = _table(_BASES[which], len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * power[: len(values)], out=sums[1:])
+    # The length is part of the result, so zeros at an end do count.
+    np.multiply(values, power[: len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of each run of span values."""
+    size = 1
+    while size * 2 <= span:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = span - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def words(text: str, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and end bytes of the words (runs of anything but ASCII white space) of the UTF-8 text."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -56,4 +68,4 @@ def words(text: str, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.nd
         return np.empty(0, np.uint64), starts, ends
     if lower:
         data = _LOWER[data]
-    return runs(data.astype(np.uint64), starts, ends), starts, ends
+    return runs(data, starts, ends), starts, ends
