@@ -2,8 +2,8 @@
 
 Equal vectors of a label form a class with one representative. Representatives start from neighbours in the order of
 several hash strings; then, round by round, the neighbours of each vector are compared with one another, and every
-vector keeps the K nearest it has met - more where all K are links already (a saturated list). The edges above the
-threshold make components. An audit takes a bounded sample of vectors, finds all their links, and asks for further
+vector keeps the K nearest it has met - more where all K are links already (a saturated list). Lists only steer the search:
+whatever is measured above the threshold goes to a table of links that is never shortened, and makes the components. An audit takes a bounded sample of vectors, finds all their links, and asks for further
 rounds with longer lists while too many lie across components.
 
 Links of vectors in one component are then counted in full, block by block, so a count is not limited by list lengths.
@@ -12,6 +12,7 @@ Links of vectors in one component are then counted in full, block by block, so a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,23 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], names=["a", "b", "sim"])
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reached(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A symmetric matrix of links -> each node with links beside the first node that they reach, but for that one itself."""
+    first = np.full(len(linked), -1)
+    for i in np.flatnonzero(linked.any(1)):
+        front = np.array([i] if first[i] < 0 else [], int)
+        while len(front):
+            first[front] = i
+            front = np.flatnonzero(linked[front].any(0) & (first < 0))
+    at = np.flatnonzero((first >= 0) & (first != np.arange(len(first))))
+    return first[at], at
+
+
+def _local(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (at, id, worst, vector) in the order of `at`: the neighbours of each vector, compared with one another.
 
-    A pair is sent on if it would enter either list.
+    A pair is sent on if it would enter either list. All that links join here is sent on too, with a null sim, one row
+    a vector: whatever its list holds, no link that was measured is lost to the components.
     """
     at, rows = None, []
 
@@ -83,7 +97,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v /= np.sqrt((v * v).sum(1, keepdims=True))
         sim = v @ v.T
         i, j = np.nonzero(np.triu((sim > worst[:, None]) | (sim > worst[None, :]), 1) & (ids[:, None] != ids[None, :]))
-        return ids[i], ids[j], sim[i, j]
+        c, d = _reached((sim >= threshold) & (ids[:, None] != ids[None, :]))
+        return np.concatenate([ids[i], ids[c]]), np.concatenate([ids[j], ids[d]]), np.concatenate([sim[i, j], np.full(len(c), np.nan)])
+
+    def sent(found: list[tuple]) -> pa.RecordBatch:
+        a, b, sim = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim, from_pandas=True)], names=["a", "b", "sim"])
 
     for batch in batches:
         found = []
@@ -94,9 +113,9 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, rows = where, []
             rows.append((i, worst, v.values.to_numpy().astype(np.float64)))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["a", "b", "sim"])
+            yield sent(found)
     if len(rows) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare()], names=["a", "b", "sim"])
+        yield sent([compare()])
 
 
 def _shortened(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -112,6 +131,7 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 
 def _round(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs that would enter a list, and with a null sim what links join."""
     worst = lists.groupBy("a").agg(F.when(F.max("rank") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     few = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), F.xxhash64("b")))
@@ -120,8 +140,7 @@ def _round(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Data
     near = lists.select("a", "b").where(F.col("rank") <= 2 * k).unionByName(back.select("a", "b")).unionByName(lists.select("a", F.col("a").alias("b")).distinct()).distinct()
     rows = near.select(F.col("a").alias("at"), F.col("b").alias("id")).join(worst.withColumnRenamed("a", "id").hint("merge"), "id").join(nodes.select("id", "vector").hint("merge"), "id")
     rows = rows.select("at", "id", "worst", "vector").repartition("at").sortWithinPartitions("at", "id")
-    met = rows.mapInArrow(_local, "a long, b long, sim double")
-    return _shortened(_both(lists).unionByName(_both(met)), threshold, k)
+    return rows.mapInArrow(lambda b: _local(b, threshold), "a long, b long, sim double")
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
@@ -203,14 +222,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     keyed = nodes.select("id", "label", "vector").mapInArrow(_keys, f"id long, label {vectors.schema[label_col].dataType.simpleString()}, vector {vectors.schema[vector_col].dataType.simpleString()}, tab int, key long")
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed.repartitionByRange(parts, "label", "tab", "key", "id").sortWithinPartitions("label", "tab", "key", "id")
-    lists = held.table(_shortened(_both(ordered.mapInArrow(_adjacent, "a long, b long, sim double")), threshold, K), "lists")
+    seeds = held.table(ordered.mapInArrow(_adjacent, "a long, b long, sim double"), "met")
+    lists = held.table(_shortened(_both(seeds), threshold, K), "lists")
+    links = [held.table(seeds.where(F.col("sim") >= threshold).select("a", "b").distinct(), "links")]
+    held.drop(seeds)
     k = K
     for audit in range(AUDITS):
         for _ in range(ROUNDS if not audit else 1):
-            after = held.table(_round(lists, nodes, threshold, k), "lists")
-            held.drop(lists)
+            met = held.table(_round(lists, nodes, threshold, k), "met")
+            after = held.table(_shortened(_both(lists).unionByName(_both(met.where("sim IS NOT NULL"))), threshold, k), "lists")
+            links.append(held.table(met.where("sim IS NULL").select("a", "b").distinct(), "links"))
+            held.drop(lists, met)
             lists = after
-        found = held.table(components(lists.where(F.col("sim") >= threshold).select("a", "b"), held), "components")
+        found = held.table(components(reduce(DataFrame.unionByName, links), held), "components")
         if _audit(nodes, found, threshold) >= RECALL:
             break
         k *= 2

@@ -393,3 +393,23 @@ def test_embedding_near_duplicates(spark):
 def test_scores_are_finite():
     net = quality_cnn.fit([])
     assert all(math.isfinite(quality_cnn.Scorer(net).score(t)) for t in ("", "a", "é" * 1000))
+
+
+def by_brute_force(x, threshold=0.93):
+    """id, n_links, component_id, kept of vectors of one label."""
+    unit = np.asarray(x, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = [(int(i), int(j)) for i, j in np.argwhere(np.tril(unit @ unit.T >= threshold, -1))]
+    want, degree = closure(len(x), links), Counter(k for pair in links for k in pair)
+    return [(i, degree[i], want[i], want[i] == i) for i in range(len(x))]
+
+
+def test_embedding_groups_joined_by_far_links(spark):
+    # Inside of a group the cosine is about 0.99, across about 0.945: each list fills up with its own group.
+    rng = np.random.default_rng(3)
+    a, d = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    far = 0.955 * a + np.sqrt(1 - 0.955**2) * d
+    x = np.concatenate([c + 0.0125 * rng.normal(size=(150, 64)) for c in (a, far)])
+    want = by_brute_force(x)
+    assert {r[2] for r in want} == {0} and min(r[1] for r in want) > 149
+    assert rows(embed_dedup.near_duplicates(vectors(spark, x))) == want
