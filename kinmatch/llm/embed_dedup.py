@@ -3,14 +3,16 @@
 Equal vectors of a label form a class with one representative. Representatives start from neighbours in the order of
 several hash strings; then, round by round, the neighbours of each vector are compared with one another, and every
 vector keeps the K nearest it has met - more where all K are links already (a saturated list). Lists only steer the search:
-whatever is measured above the threshold goes to a table of links that is never shortened, and makes the components. An audit takes a bounded sample of vectors, finds all their links, and asks for further
-rounds with longer lists while too many lie across components.
+whatever is measured above the threshold goes to a table of links that is never shortened, and makes the components. An audit samples vectors of each size of group, finds all their links, and asks for more hash
+strings and rounds while a sampled vector has a link across components. Where the last audit still finds one, all
+vectors of a label are compared by blocks, so the components are then exact.
 
 Links of vectors in one component are then counted in full, block by block, so a count is not limited by list lengths.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,12 +26,14 @@ from kinmatch.llm.components import components
 
 #: Length of a list, and of a saturated one; reverse neighbours that join a local comparison.
 K, SATURATED, REVERSE = 8, 32, 8
-#: Hash strings for the start, their bits, and how many following vectors each meets there.
-TABLES, BITS, AHEAD = 8, 24, 3
-#: Rounds before an audit, audits at most, vectors audited, and the share of their links that must be found.
-ROUNDS, AUDITS, AUDITED, RECALL = 3, 3, 256, 0.97
-#: Side of a block in which links are counted.
-BLOCK = 512
+#: Hash strings for the start, those added each time the largest label doubles beyond FEW vectors, their bits, and how
+#: many following vectors each meets there.
+TABLES, MORE, FEW, BITS, AHEAD = 8, 3, 1024, 24, 3
+#: Rounds before the first audit, audits before all is compared, and vectors audited of a size of group: so many, or
+#: SHARE times the root of their number if that is more.
+ROUNDS, AUDITS, AUDITED, SHARE = 3, 3, 256, 4
+#: Sides of a block in which links are counted, and of one in which components are completed.
+BLOCK, WIDE = 512, 1024
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -37,7 +41,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], tables: int, seed: int) -> Iterator[pa.RecordBatch]:
     """id, label, vector -> the same in each table, with its hash string there."""
     planes: dict[int, np.ndarray] = {}
     weight = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -46,15 +50,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for length in np.unique(lengths):
             part = batch.take(pa.array(np.flatnonzero(lengths == length)))
             if length not in planes:
-                planes[length] = np.random.default_rng(5).normal(size=(int(length), TABLES * BITS))
-            bits = (_unit(part.column(2)) @ planes[length] > 0).reshape(part.num_rows, TABLES, BITS)
+                planes[length] = np.random.default_rng(seed).normal(size=(int(length), tables * BITS))
+            bits = (_unit(part.column(2)) @ planes[length] > 0).reshape(part.num_rows, tables, BITS)
             keys = (bits * weight).sum(2)
-            for t in range(TABLES):
+            for t in range(tables):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, t, np.int32)), pa.array(keys[:, t])], names=["id", "label", "vector", "tab", "key"])
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (label, table, key): each with the AHEAD next ones of its label, table and length."""
+def _adjacent(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (label, table, key): each with the next ones of its label, table and length."""
     tail: list[tuple] = []
     for batch in batches:
         out_a, out_b, out_s = [], [], []
@@ -66,7 +70,7 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out_a.append(i)
                     out_b.append(j)
                     out_s.append(float(v @ w))
-            tail = [*tail[-AHEAD + 1 :], (i, label, tab, v)]
+            tail = [*tail[-ahead + 1 :], (i, label, tab, v)]
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], names=["a", "b", "sim"])
 
 
@@ -143,33 +147,85 @@ def _round(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Data
     return rows.mapInArrow(lambda b: _local(b, threshold), "a long, b long, sim double")
 
 
-def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample of vectors that lie inside of components; 1 without links."""
-    sample = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDITED).select("id", "label", "vector").collect()
-    held = [(r[0], r[1], np.array(r[2], float)) for r in sample]
-    held = [(i, label, v / np.sqrt(v @ v)) for i, label, v in held]
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(nodes: DataFrame, tables: int, ahead: int, seed: int) -> DataFrame:
+    """Pairs of vectors that follow one another in the order of a hash string."""
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    keyed = nodes.select("id", "label", "vector").mapInArrow(lambda b: _keys(b, tables, seed), f"id long, label {kinds['label']}, vector {kinds['vector']}, tab int, key long")
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = keyed.repartitionByRange(parts, "label", "tab", "key", "id").sortWithinPartitions("label", "tab", "key", "id")
+    return ordered.mapInArrow(lambda b: _adjacent(b, ahead), "a long, b long, sim double")
+
+
+def _complete(nodes: DataFrame, found: DataFrame, threshold: float) -> bool:
+    """Whether no vector of a sample of each size of group has a link to another component, or out of none."""
+    sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")).hint("merge"), "component").select(F.col("node").alias("id"), "component", F.least(F.floor(F.log2("size")), F.lit(12)).cast("int").alias("stratum"))
+    placed = nodes.select("id", "label", "vector").join(sized.hint("merge"), "id", "left").withColumn("stratum", F.coalesce("stratum", F.lit(0)))
+    # The sample grows with the table, but only with its root, so the driver can hold it.
+    most = {s: max(AUDITED, SHARE * math.isqrt(n)) / n for s, n in placed.groupBy("stratum").count().collect()}
+    if not most:
+        return True
+    chance = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) / (1 << 30)
+    rate = F.element_at(F.create_map(*(F.lit(x) for pair in most.items() for x in pair)), F.col("stratum"))
+    sample = placed.where(chance < rate).select("id", "label", F.coalesce("component", "id"), "vector").collect()
+    held: dict[tuple, list] = {}
+    for i, label, component, v in sample:
+        held.setdefault((label, len(v)), []).append((i, component, v))
+    sides = {key: (np.array([r[0] for r in part]), np.array([r[1] for r in part]), np.array([r[2] for r in part], float)) for key, part in held.items()}
+    sides = {key: (ids, components, v / np.sqrt((v * v).sum(1, keepdims=True))) for key, (ids, components, v) in sides.items()}
+    sent = nodes.sparkSession.sparkContext.broadcast(sides)
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
-            labels = np.array(batch.column(1).to_pylist(), object)
-            ids = batch.column(0).to_numpy()
-            lengths = np.array([len(v) for v in batch.column(2)])
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                units = _unit(batch.column(2).take(pa.array(at)))
-                for i, label, v in held:
-                    if len(v) == length:
-                        hit = at[(units @ v >= threshold) & (labels[at] == label) & (ids[at] != i)]
-                        out_a += [i] * len(hit)
-                        out_b += ids[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    true = nodes.select("id", "label", "vector").mapInArrow(links, "a long, b long")
-    for side in ("a", "b"):
-        true = true.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")).hint("merge"), side, "left")
-    n, good = true.agg(F.count("*"), F.count_if(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))).first()
-    return good / n if n else 1.0
+            n, labels = 0, batch.column(1).to_pylist()
+            parts: dict[tuple, list[int]] = {}
+            for row, (label, v) in enumerate(zip(labels, batch.column(3))):
+                parts.setdefault((label, len(v)), []).append(row)
+            for key, at in parts.items():
+                if key in sent.value:
+                    ids, components, v = sent.value[key]
+                    far = (_unit(batch.column(3).take(pa.array(at))) @ v.T >= threshold) & (batch.column(2).to_numpy()[at][:, None] != components[None, :])
+                    n += int((far & (batch.column(0).to_numpy()[at][:, None] != ids[None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    n = placed.select("id", "label", F.coalesce("component", "id").alias("component"), "vector").mapInArrow(missed, "n long").agg(F.sum("n")).first()[0]
+    return not n
+
+
+def _joined(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (task, id, vector) in the order of task: all vectors of a task compared, and what links join, one row a vector."""
+    task, rows = None, []
+
+    def compare() -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([r[0] for r in rows], np.int64)
+        if len(rows) < 2:
+            return ids[:0], ids[:0]
+        v = np.stack([r[1] for r in rows])
+        v /= np.sqrt((v * v).sum(1, keepdims=True))
+        first, at = _reached((v @ v.T >= threshold) & ~np.eye(len(v), dtype=bool))
+        return ids[first], ids[at]
+
+    for batch in batches:
+        found = []
+        for where, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if where != task:
+                found.append(compare())
+                task, rows = where, []
+            rows.append((i, v.values.to_numpy().astype(np.float64)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare()], names=["a", "b"])
+
+
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """What the links of all pairs of vectors of a label and length join: every block of WIDE meets every other one."""
+    sized = nodes.withColumn("length", F.size("vector"))
+    blocks = sized.groupBy("label", "length").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+    rows = sized.join(blocks.hint("merge"), ["label", "length"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.struct("label", "length", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    # A block alone is met in its tasks with others, if there are any.
+    rows = rows.where("blocks = 1 OR own <> other").select(F.xxhash64(task).alias("task"), "id", "vector")
+    return rows.repartition("task").sortWithinPartitions("task", "id").mapInArrow(lambda b: _joined(b, threshold), "a long, b long")
 
 
 def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -219,25 +275,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     nodes = live.join(heads.hint("merge"), ["id", "label", "one", "two"]).dropDuplicates(["id"]).select("id", "label", "vector", "weight")
     nodes = held.table(nodes, "nodes")
 
-    keyed = nodes.select("id", "label", "vector").mapInArrow(_keys, f"id long, label {vectors.schema[label_col].dataType.simpleString()}, vector {vectors.schema[vector_col].dataType.simpleString()}, tab int, key long")
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "label", "tab", "key", "id").sortWithinPartitions("label", "tab", "key", "id")
-    seeds = held.table(ordered.mapInArrow(_adjacent, "a long, b long, sim double"), "met")
-    lists = held.table(_shortened(_both(seeds), threshold, K), "lists")
-    links = [held.table(seeds.where(F.col("sim") >= threshold).select("a", "b").distinct(), "links")]
-    held.drop(seeds)
-    k = K
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables = TABLES + MORE * max(0, math.ceil(math.log2(max(largest, 1) / FEW)))
+    lists, links, k = None, [], K
     for audit in range(AUDITS):
-        for _ in range(ROUNDS if not audit else 1):
-            met = held.table(_round(lists, nodes, threshold, k), "met")
-            after = held.table(_shortened(_both(lists).unionByName(_both(met.where("sim IS NOT NULL"))), threshold, k), "lists")
-            links.append(held.table(met.where("sim IS NULL").select("a", "b").distinct(), "links"))
-            held.drop(lists, met)
+        met = held.table(_seeds(nodes, tables, AHEAD << audit, 5 + audit), "met")
+        links.append(held.table(met.where(F.col("sim") >= threshold).select("a", "b").distinct(), "links"))
+        for step in range(1 + (1 if audit else ROUNDS)):
+            if step:
+                met = held.table(_round(lists, nodes, threshold, k), "met")
+                links.append(held.table(met.where("sim IS NULL").select("a", "b").distinct(), "links"))
+            near = _both(met.where("sim IS NOT NULL"))
+            after = held.table(_shortened(_both(lists).unionByName(near) if lists else near, threshold, k), "lists")
+            held.drop(met, *([lists] if lists else []))
             lists = after
         found = held.table(components(reduce(DataFrame.unionByName, links), held), "components")
-        if _audit(nodes, found, threshold) >= RECALL:
+        if _complete(nodes, found, threshold):
             break
         k *= 2
+    else:
+        links.append(held.table(_all_links(nodes, threshold), "links"))
+        found = held.table(components(reduce(DataFrame.unionByName, links), held), "components")
 
     # All links inside of components, by blocks.
     placed = nodes.join(found.withColumnRenamed("node", "id").hint("merge"), "id")

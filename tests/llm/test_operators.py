@@ -413,3 +413,15 @@ def test_embedding_groups_joined_by_far_links(spark):
     want = by_brute_force(x)
     assert {r[2] for r in want} == {0} and min(r[1] for r in want) > 149
     assert rows(embed_dedup.near_duplicates(vectors(spark, x))) == want
+
+
+def test_embedding_components_are_completed_where_the_search_misses(spark, monkeypatch):
+    # Isolated pairs, and a search too sparse for them: one hash string, one round.
+    for name, value in {"TABLES": 1, "ROUNDS": 1, "AUDITS": 1}.items():
+        monkeypatch.setattr(embed_dedup, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[1::2] = x[::2] + 0.3 * rng.normal(size=(750, 32))
+    want = by_brute_force(x)
+    assert sum(r[1] for r in want) > 1000
+    assert rows(embed_dedup.near_duplicates(vectors(spark, x))) == want
