@@ -28,9 +28,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that of the smallest id."""
-    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates: the one of the smallest id, null last. Ids need not tell rows apart."""
+    # The numbers stand for the ids; they are written, so that all who read them see the same ones.
+    rows = Scratch(spark, "near").table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = minhash_dedup.near_duplicates(rows, id_col="_row").select("_row", "component_id").join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    best = placed.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+    return rows.join(best.select("_row").hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

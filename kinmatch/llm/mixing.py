@@ -42,9 +42,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return out.select("source_key", "source_size", target.alias("target"), F.floor("budget").cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
     """One row a document: id_col, size, source_size, target and taken, the words that the mix takes of it.
 
+    A long column named in carry comes out beside them; it tells apart documents that are equal in id and size.
+
     Size is the number of words of the text, 0 for null and empty ones, of which nothing is taken. A null source is a
     source of its own, last in order. Rows with equal ids are documents of their own; equal rows share a place in the
     queue one after the other. With no words at all every target is 0. An empty table gives no rows.
@@ -58,6 +60,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
         F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("source_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
+        (F.col(carry) if carry else F.lit(0).cast("long")).alias("carried"),
     ).withColumn("bucket", F.shiftright("key", 60 - BUCKETS.bit_length() + 1))
     rows = held.table(rows, "sizes")  # texts are read once
 
@@ -65,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     targets = source_targets(sums.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     before = F.sum("bucket_size").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("bucket_size")
     starts = sums.withColumn("before", before).drop("bucket_size").join(targets, "source_key")
-    queue = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queue = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size", "carried").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("within", F.sum("size").over(queue)).join(starts, ["source_key", "bucket"])
     placed = held.table(placed.withColumn("done", F.col("before") + F.col("within")).drop("before", "within", "bucket"), "queue")
 
@@ -75,22 +78,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     repeated = repeated.where(F.col("epoch") * F.col("source_size") + F.col("done") - F.col("size") < F.col("target"))
     # Finish times spread evenly up to 1; beyond it there is at most one repetition a source.
     slot = F.least(F.floor(F.col("finish") * BUCKETS), F.lit(BUCKETS)).cast("int")
-    repeated = repeated.select("budget", "size", slot.alias("slot"), F.struct("finish", "source_key", "epoch", "key", "doc_id").alias("place"))
+    repeated = repeated.select("budget", "size", slot.alias("slot"), F.struct("finish", "source_key", "epoch", "key", "doc_id", "carried").alias("place"))
     slots = repeated.groupBy("slot").agg(F.sum("size").alias("slot_size"))
     slots = slots.withColumn("before", F.sum("slot_size").over(Window.orderBy("slot")) - F.col("slot_size")).drop("slot_size")
     merged = Window.partitionBy("slot").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
     used = repeated.withColumn("within", F.sum("size").over(merged)).join(slots, "slot")
     cut = used.where(F.col("before") + F.col("within") <= F.col("budget")).agg(F.max("place").alias("last")).first()["last"]
 
+    kept = [F.col("carried").alias(carry)] if carry else []
     # The driver holds where the mix is cut, one row; each document compares its repetitions with it.
     if cut is None:
-        return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *kept)
     kinds = {f.name: f.dataType for f in repeated.schema["place"].dataType.fields}
     last = F.struct(*(F.lit(cut[c]).cast(kinds[c]).alias(c) for c in kinds))
     finish = [(e * F.col("source_size") + F.col("done")) / F.col("target") for e in range(cap)]
-    places = [F.struct(f.alias("finish"), "source_key", F.lit(e).alias("epoch"), "key", "doc_id") for e, f in enumerate(finish)]
+    places = [F.struct(f.alias("finish"), "source_key", F.lit(e).alias("epoch"), "key", "doc_id", "carried") for e, f in enumerate(finish)]
     taken = [F.when((F.col("size") > 0) & (e * F.col("source_size") + F.col("done") - F.col("size") < F.col("target")) & (p <= last), 1).otherwise(0) for e, p in enumerate(places)]
-    return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * sum(taken[1:], taken[0])).cast("long").alias("taken"))
+    return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * sum(taken[1:], taken[0])).cast("long").alias("taken"), *kept)
 
 
 ORACLE_SQL = f"""
@@ -117,9 +121,10 @@ FROM q LEFT JOIN x ON q.doc_id IS NOT DISTINCT FROM x.doc_id AND q.k = x.k AND q
 def kept_documents(docs: DataFrame, **names) -> DataFrame:
     """The mix as documents: every row of docs as often as the mix takes it (not at all, once, or up to CAP times).
 
-    docs need ids that tell rows apart; its columns come out as they went in.
+    Rows are told apart by a number of their own, so ids may repeat or be null; the columns of docs come out as they went in.
     """
-    id_col = names.get("id_col", "doc_id")
-    plan = mix(docs, **names).where("taken > 0").select(F.col(id_col).alias("_mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    # Written once: the plan and the documents must see the same numbers.
+    docs_ = Scratch(docs.sparkSession, "mix").table(docs.withColumn("_mixed_row", F.monotonically_increasing_id()), "documents")
+    plan = mix(docs_, **names, carry="_mixed_row").where("taken > 0").select("_mixed_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mixed_id"))).withColumn("_times", times).select(*docs.columns)
+    return docs_.join(plan, "_mixed_row").withColumn("_times", times).select(*docs.columns)

@@ -87,3 +87,23 @@ def test_entry_lists_everything():
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | {f"op{n}_" for n in range(1, 11)} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in names}
     assert set(__spark_entry__.oracle_sql()) <= names and "corpus_pipeline" in sys.modules
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = random.Random(12)
+    text = lambda k: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(k))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    copy, other = text(80), text(80)
+    data = [(7, copy), (7, copy), (None, copy), (None, copy), (9, copy), (None, other), (None, other), (3, text(80)), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, copy), (None, other), data[7], data[8]])
+
+    data = [(None if i % 3 == 0 else i // 10, text(20 + i % 3)) for i in range(60)] + [(4, copy)] * 5
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 0) for k, (i, t) in enumerate(data)], schema)
+    taken = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.source_mix(spark, docs, "").collect())
+    rows = Counter((i, t, f"s{k % 2}") for k, (i, t) in enumerate(data))
+    total = sum(len(t.split()) for _, t in data)
+    assert all(n <= 3 * rows[r] for r, n in taken.items())
+    assert total - 160 <= sum(n * len(r[1].split()) for r, n in taken.items()) <= total
