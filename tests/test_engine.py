@@ -1,5 +1,7 @@
+import difflib
 import gzip
 import json
+import random
 import zipfile
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions.features import FEATURES
 from kinmatch.operators import audit, evaluation, exact, model, pairs, policy, retrieval, validation
 from kinmatch.operators.retrieval import CONFIGS
+from kinmatch.plans import registry
 from kinmatch.sources import files, sinks
 from kinmatch.sources import records as rec
 from kinmatch.streaming import matcher
@@ -260,3 +263,27 @@ def test_stream_resumes(spark, records, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         matcher.match_stream(spark, incoming, records, out, config, identity).awaitTermination()
     assert rows(matcher.matched(spark, out)) == rows(retrieval.candidates(records, config))
+
+
+@pytest.fixture(scope="module")
+def noisy(spark, tmp_path_factory):
+    """Documents with names and addresses of shared words: each reference has many legacy candidates."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(7)) for _ in range(100)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(4))
+    texts = [f"{line()}\n{line()}" for _ in range(300)]
+    texts[30:60] = texts[31:61]
+    at = str(tmp_path_factory.mktemp("noisy"))
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_sequence_features_of_noisy_candidates(spark, noisy):
+    pairs = {tuple(r) for r in registry._legacy(spark, noisy).select("reference_id", "target_id").collect()}
+    records = {r.entity_id: r for r in registry._records(spark, noisy).collect()}
+    got = registry.features_sequence(spark, noisy).collect()
+    assert {(r.reference_id, r.target_id) for r in got} == pairs and len(got) == len(pairs) > 1000
+    for r in got[:200]:
+        a, b = records[r.reference_id], records[r.target_id]
+        assert r.name_char == pytest.approx(difflib.SequenceMatcher(None, a.name_norm, b.name_norm, False).ratio())
+    assert sum(0 < r.name_char < 1 for r in got) > 1000
