@@ -6,13 +6,22 @@ import atexit
 import itertools
 import tempfile
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the corpus contracts: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text that a Python worker turns into strings at once; a longer text is a portion of its own.
+PORTION = 4 << 20
+#: Bytes of labelled texts that the driver holds for fitting.
+SAMPLE_BYTES = 128 << 20
+
 _serial = itertools.count()
 
 
@@ -38,17 +47,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in order, in slices whose texts have at most `most` bytes together, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def spread_nulls(key: str, by: str, parts: int = 1024) -> Column:
+    """A second join key that deals rows with a null key, which join nothing, to many tasks; 0 for all others."""
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(F.lit(0).cast("long"))
+
+
+def fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df less the columns of these names, in upper or lower case."""
+    taken = {n.lower() for n in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in taken))
+
+
 def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """This application's folder under spark.checkpoint.dir; where that is unset, a temporary folder in local mode only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="kinmatch-")
             spark.sparkContext.setCheckpointDir(root)
@@ -94,22 +131,33 @@ class Scratch:
                 remove(self.spark, at)
 
 
-def training_sample(docs: DataFrame, marks: DataFrame, mark: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
+def training_sample(
+    docs: DataFrame, marks: DataFrame, mark: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES
+) -> list[tuple[int, str, int]]:
     """(id, text, label) of labelled rows for fitting: at most most[label] rows of each label, none of them held out.
 
-    The bound is the documented parameter most. Rows are taken in the order of a hash of their id, so reruns agree.
-    Null labels, null ids and ids labelled both ways are left out; a repeated id counts once.
+    The bounds are the documented parameters most and most_bytes: rows are taken in the order of a hash of their id, so
+    reruns agree, and each as long as its whole text fits into what is left of its label's equal share of most_bytes.
+    Null labels, null ids and ids labelled both ways are left out; of a repeated id the smallest text counts.
     """
     lab = marks.where(F.col(mark).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     lab = lab.groupBy(F.col(id_col).alias("_id")).agg(F.min(mark).alias("_y"), F.max(mark).alias("_z")).where("_y = _z")
-    picked: dict[int, int] = {}
+    picked = []
     for y in sorted(most):
-        rows = lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most[y]).select("_id").collect()
-        picked |= {r[0]: y for r in rows}
+        picked += [(r[0], y) for r in lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most[y]).select("_id").collect()]
     if not picked:
         return []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in picked], "_id long")
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
-    first = {r[0]: r[1] for r in sorted(found.collect(), key=lambda r: (r[0], r[1] or ""), reverse=True)}
-    return [(i, first[i] or "", picked[i]) for i in sorted(first)]
+    kind = marks.schema[id_col].dataType.simpleString()
+    wanted = lambda pairs: F.broadcast(docs.sparkSession.createDataFrame([(i,) for i, _ in pairs], f"_id {kind}"))  # noqa: E731  (bounded by most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    sizes = dict(texts.join(wanted(picked), "_id").groupBy("_id").agg(F.max(F.octet_length("_text"))).collect())
+    left = dict.fromkeys(most, most_bytes // len(most))
+    fitting = []
+    for i, y in picked:
+        if i in sizes and sizes[i] <= left[y]:
+            left[y] -= sizes[i]
+            fitting.append((i, y))
+    if not fitting:
+        return []
+    first = dict(texts.join(wanted(fitting), "_id").groupBy("_id").agg(F.min("_text")).collect())
+    return [(i, first[i], y) for i, y in sorted(fitting)]

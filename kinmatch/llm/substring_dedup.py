@@ -7,7 +7,8 @@ is one comparison - and, where reaches of the same anchor differ, window by wind
 with a smaller id is joined to maximal repeats, and their words are removed.
 
 A group of matches is never expanded into pairs: each side meets only the group's smallest id, found by a pre-aggregated
-minimum, in joins that have one row a group on the other side. All decisions are made on the input.
+minimum, in joins that have one row a group on the other side. That side is a written table, so a partition with a hot
+group can be split by adaptive execution (it can't behind an aggregate). All decisions are made on the input.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import wordhash
-from kinmatch.llm.common import Scratch
+from kinmatch.llm.common import Scratch, fields, portions, spread_nulls, without
 
 WINDOW = 13
 ANCHOR = 4
@@ -65,7 +66,7 @@ def _list(column: pa.Array, row: int) -> np.ndarray:
 
 
 def _count_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         found = [np.empty(0, np.uint64)]
         for text in batch.column(1).to_pylist():
             found.append(_different(wordhash.words(text)[0], window)[0])  # one count for each reach in a document
@@ -75,7 +76,7 @@ def _count_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         seeds, reaches, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
         for text in batch.column(1).to_pylist():
             seed, reach = _different(wordhash.words(text)[0], window)
@@ -88,7 +89,7 @@ def _list_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def _list_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Windows of the anchors whose reach is the first of its kind but shares the anchor with other reaches."""
-    for batch in batches:
+    for batch in portions(batches, 1):
         out, sizes = [np.empty(0, np.uint64)], []
         open_at = batch.schema.get_field_index("open")
         for row, text in enumerate(batch.column(1).to_pylist()):
@@ -106,12 +107,13 @@ def _list_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([_signed(np.concatenate(out)), ids], names=["window", "doc_id"])
 
 
-def _remove(text: str, reaches: np.ndarray, windows: np.ndarray, window: int) -> tuple[int, int, bytes]:
-    """Words, removed words, and the kept words joined by one space."""
+def _remove(text: str, reaches: np.ndarray, windows: np.ndarray, window: int, spans: bool) -> tuple[int, int, bytes]:
+    """Words, removed words, and what is left: the kept words joined by one space or, with spans, the text without the
+    removed words and the white space behind them."""
     data = text.encode("utf-8", "surrogatepass")
     if not len(reaches) and not len(windows):
         parts = data.split()  # of bytes: at ASCII white space
-        return len(parts), 0, b" ".join(parts)
+        return len(parts), 0, data if spans else b" ".join(parts)
     hashes, starts, ends = wordhash.words(text)
     _, reach, first, last = anchors(hashes, window)
     marks = np.zeros(len(hashes) + 1, int)
@@ -123,44 +125,40 @@ def _remove(text: str, reaches: np.ndarray, windows: np.ndarray, window: int) ->
         np.add.at(marks, single, 1)
         np.add.at(marks, single + window, -1)
     keep = np.cumsum(marks)[:-1] <= 0
-    kept = b" ".join([data[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())])
-    return len(hashes), int(len(hashes) - keep.sum()), kept
-
-
-def _remove_all(batches: Iterator[pa.RecordBatch], window: int, names: list[str], text_at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done_at, hit_at = batch.schema.get_field_index("_done"), batch.schema.get_field_index("_hit")
-        rows = [_remove(text or "", _list(batch.column(done_at), i), _list(batch.column(hit_at), i), window) for i, text in enumerate(batch.column(text_at).to_pylist())]
+    removed = int(len(hashes) - keep.sum())
+    if not spans:
+        return len(hashes), removed, b" ".join([data[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())])
+    # Each word goes up to the next one; what stands before the first word stays.
+    upto = np.r_[starts[1:], len(data)]
+    edge = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(np.int8)))
+    pieces = [data[: starts[0]]] if len(starts) else []
+    return len(hashes), removed, b"".join([*pieces, *(data[starts[a] : upto[b - 1]] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()))])
+
+
+def _remove_all(batches: Iterator[pa.RecordBatch], window: int, names: list[str], text_at: int, form: str, added: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches, text_at):
+        done_at, hit_at = len(names), len(names) + 1
+        rows = [_remove(text or "", _list(batch.column(done_at), i), _list(batch.column(hit_at), i), window, form == "spans") for i, text in enumerate(batch.column(text_at).to_pylist())]
+        left = [hashlib.sha256(r[2]).hexdigest() if form == "sha256" else r[2].decode("utf-8", "replace") for r in rows]
+        # A digest stands for the text, which is then not sent back.
+        kept = [at for at in range(len(names)) if form != "sha256" or at != text_at]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(names)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string())],
-            names=[*names, "n_words", "n_removed", "kept_text"],
+            [*(batch.column(at) for at in kept), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(left, pa.string())],
+            names=[*(names[at] for at in kept), *added],
         )
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.string())], names=[batch.schema.names[0], "n_words", "n_removed", "kept_sha256"])
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and n_words, n_removed and kept_text (the words left, joined by one space).
-
-    A word goes if a window that covers it also starts in a document with a smaller id. A null text has no words; texts
-    shorter than a window lose none. A document with a null id is smaller than none and larger than none: it loses
-    nothing and takes nothing from others. Rows with equal ids do not take from each other. An empty table gives no
-    rows. docs must not have columns named n_words, n_removed or kept_text (ValueError).
-    """
-    if taken := {c.lower() for c in docs.columns} & {"n_words", "n_removed", "kept_text", "_done", "_hit", "_doc"}:
-        raise ValueError(f"columns {sorted(taken)} are there already")
+def found_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """_doc, _done, _hit: the reaches and the single windows of a document that a document with a smaller id has too."""
     held = Scratch(docs.sparkSession, "substring")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     counts = texts.mapInArrow(lambda b: _count_anchors(b, window), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = held.table(counts, "counts")
     listed = texts.mapInArrow(lambda b: _list_anchors(b, window), f"seed long, reach long, doc_id {kind}")
     shared = held.table(listed.join(counts.hint("merge"), "seed"), "shared")
-    firsts = shared.groupBy("seed", "reach").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("alike"))
+    firsts = held.table(shared.groupBy("seed", "reach").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("alike")), "firsts")
     judged = shared.join(firsts.hint("merge"), ["seed", "reach"])
     known = F.col("smallest") < F.col("doc_id")
     # The first of several different reaches of an anchor is compared window by window; other reaches are covered by
@@ -168,22 +166,43 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     open_ = ~known & (F.col("alike") < F.col("n"))
     lists = judged.where(known | open_).groupBy("doc_id").agg(F.collect_set(F.when(known, F.col("reach"))).alias("done"), F.collect_set(F.when(open_, F.col("reach"))).alias("open"))
     lists = held.table(lists, "lists")
+    held.drop(counts, shared, firsts)
 
     opened = texts.join(lists.where(F.size("open") > 0).select("doc_id", "open").hint("merge"), "doc_id")
     windows = held.table(opened.mapInArrow(lambda b: _list_windows(b, window), f"window long, doc_id {kind}"), "windows")
-    smallest = windows.groupBy("window").agg(F.min("doc_id").alias("smallest"))
+    smallest = held.table(windows.groupBy("window").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest"), "smallest")
     hits = windows.join(smallest.hint("merge"), "window").where("smallest < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("hit"))
-
     found = lists.where(F.size("done") > 0).select("doc_id", "done").join(hits, "doc_id", "full_outer")
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("done").alias("_done"), F.col("hit").alias("_hit"))
-    joined = docs.join(found.hint("merge"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    found = held.table(found.select(F.col("doc_id").alias("_doc"), F.col("done").alias("_done"), F.col("hit").alias("_hit")), "found")
+    held.drop(windows, smallest, lists)
+    return found
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", form: str = "words", prefix: str = "") -> DataFrame:
+    """All columns of docs, and n_words, n_removed and what is left of the text.
+
+    form: "words" adds kept_text, the words left, joined by one space; "spans" adds kept_text, the text less the removed
+    words and the white space behind each, all else as it was; "sha256" adds kept_sha256, the digest of the words form,
+    and leaves the text out. prefix is put before the names of the added columns; columns of docs with such a name, in
+    upper or lower case, give way to them.
+
+    A word goes if a window that covers it also starts in a document with a smaller id. A null text has no words; texts
+    shorter than a window lose none. A document with a null id is smaller than none and larger than none: it loses
+    nothing and takes nothing from others. Rows with equal ids do not take from each other. An empty table gives no
+    rows.
+    """
+    added = [prefix + n for n in ("n_words", "n_removed", "kept_sha256" if form == "sha256" else "kept_text")]
+    docs = without(docs, added)
+    found = found_repeats(docs, window, id_col, text_col).withColumn("_deal", F.lit(0).cast("long"))
     names, text_at = docs.columns, docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(lambda b: _remove_all(b, window, names, text_at), f"{fields}, n_words long, n_removed long, kept_text string")
+    left = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row")[id_col].alias("_id"), F.col("_row")[text_col].alias("_text"))
+    left = left.withColumn("_deal", spread_nulls("_id", "_text")).drop("_text")
+    joined = left.join(found.withColumnRenamed("_doc", "_id").hint("merge"), ["_id", "_deal"], "left").select("_row.*", "_done", "_hit")
+    joined = joined.toDF(*(f"_{i}" for i in range(len(names) + 2)))  # docs may have columns of such names too
+    kept = docs if form != "sha256" else docs.drop(text_col)
+    return joined.mapInArrow(lambda b: _remove_all(b, window, names, text_at, form, added), f"{fields(kept)}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` string")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_removed and kept_sha256 of dedup(); other columns of docs are not read."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = dedup(docs.select(id_col, text_col), window, id_col, text_col).drop(text_col)
-    return out.mapInArrow(_digest, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    return dedup(docs.select(id_col, text_col), window, id_col, text_col, form="sha256")

@@ -14,6 +14,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Values that are hashed at once; the tables of powers hold one entry more at most.
+SEGMENT = (1 << 18) - 1
 
 
 def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,14 +39,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """The hash of values[start:end] for each pair; of equal runs it is equal, wherever they stand."""
+def _raw(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """The polynomial of values[start:end] for each pair, with the power 0 at the start."""
     power, inverse = _table(_BASES[which], len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    # The length is part of the result, so zeros at an end do count.
     np.multiply(values, power[: len(values)], out=sums[1:])
     np.cumsum(sums[1:], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
+def _long(values: np.ndarray, start: int, end: int, which: int) -> int:
+    """The same of one run that is longer than a segment, put together from segments."""
+    power, _ = _table(_BASES[which], SEGMENT + 1)
+    total = 0
+    for at in range(start, end, SEGMENT):
+        part = values[at : min(end, at + SEGMENT)]
+        total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(_BASES[which], at - start, 1 << 64)
+    return total % (1 << 64)
+
+
+def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """The hash of values[start:end] for each pair, starts ascending; of equal runs it is equal, wherever they stand.
+
+    Long arrays are done by segments, so what is held beside them does not grow with the longest text.
+    """
+    if len(values) <= SEGMENT:
+        raw = _raw(values, starts, ends, which)
+    else:
+        raw, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            base = int(starts[at])
+            to = int(np.searchsorted(starts, base + SEGMENT // 2))
+            stop = min(len(values), base + SEGMENT)
+            some = ends[at:to]
+            raw[at:to] = _raw(values[base:stop], starts[at:to] - base, np.minimum(some, stop) - base, which)
+            for k in np.flatnonzero(some > stop).tolist():
+                raw[at + k] = _long(values, int(starts[at + k]), int(some[k]), which)
+            at = to
+    # The length is part of the result, so zeros at an end do count.
+    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sliding_min(values: np.ndarray, span: int) -> np.ndarray:

@@ -182,8 +182,41 @@ def test_substring_dedup(spark):
     assert substring_dedup.digests(docs(spark, [])).count() == 0
     same = " ".join(map(str, range(30)))
     assert [r[2] for r in substring_dedup.digests(docs(spark, ["NULL-ID"]).withColumn("text", F.lit(same)).unionByName(docs(spark, [same]))).collect()] == [0, 0]
-    with pytest.raises(ValueError):
-        substring_dedup.dedup(docs(spark, texts).withColumn("n_words", F.lit(1)))
+    clash = docs(spark, texts).withColumn("N_Words", F.lit(-1)).withColumn("_doc", F.lit(-1)).withColumn("_done", F.lit(-1))
+    got = substring_dedup.dedup(clash, window=50)
+    assert got.columns == [*docs(spark, []).columns, "_doc", "_done", "n_words", "n_removed", "kept_text"]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect()) == brute_substring(texts, 50)
+
+
+def test_substring_dedup_can_keep_white_space(spark):
+    shared = " ".join(f"s{i}" for i in range(20))
+    texts = [shared, f"  first\n\tline\n\n{shared}\n\nthe  end\n", f"{shared} tail ", f"head\n{shared}", shared]
+    got = {r.doc_id: r.kept_text for r in substring_dedup.dedup(docs(spark, texts), form="spans").collect()}
+    assert got == {0: shared, 1: "  first\n\tline\n\nthe  end\n", 2: "tail ", 3: "head\n", 4: ""}
+
+
+def test_long_texts_are_hashed_by_segments(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join("x" * rng.integers(1, 200) + str(rng.integers(0, 9)) for _ in range(800))
+    whole, starts, ends = wordhash.words(text)
+    at = np.arange(len(whole) - 12)
+    windows = wordhash.runs(whole, at, at + 13)
+    one = wordhash.runs(whole, np.array([3]), np.array([700]), 1)
+    monkeypatch.setattr(wordhash, "SEGMENT", 31)
+    monkeypatch.setattr(wordhash, "_powers", {})
+    assert (wordhash.words(text)[0] == whole).all() and (wordhash.runs(whole, at, at + 13) == windows).all()
+    assert (wordhash.runs(whole, np.array([3]), np.array([700]), 1) == one).all()
+
+
+def test_portions_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from kinmatch.llm.common import portions
+
+    sizes = [3, 0, 9, 100, 1, 4, 4, 4, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([None if n == 0 else "y" * n for n in sizes])], names=["a", "b"])
+    got = [b.column(0).to_pylist() for b in portions(iter([batch]), 1, 10)]
+    assert sum(got, []) == list(range(9)) and [3] in got and all(sum(sizes[i] for i in g) <= 10 for g in got if g != [3])
 
 
 def test_word_hashes_do_not_depend_on_place():
