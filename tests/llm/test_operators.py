@@ -423,6 +423,25 @@ def test_embedding_near_duplicates(spark):
     assert embed_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_embeddings_with_repeated_ids_and_rows(spark):
+    # Vector 3 is linked with the second vector of id 1 alone; id 5 comes twice as one row; lengths and labels differ.
+    data = [(1, [1.0, 0, 0, 0], 0), (1, [0, 1.0, 0, 0], 0), (3, [0.01, 1.0, 0, 0], 0), (5, [0, 0, 1.0, 0], 0), (5, [0, 0, 1.0, 0], 0), (6, [0, 0, 1.0, 0.01], 0)]
+    data += [(7, [0, 0, 1.0], 0), (8, [0, 0, 2.0], 0), (9, [0, 0, 1.0], 1), (4, [0, 0, 1.0, 0], 0), (None, [0, 0, 1.0, 0], 0), (10, [1.0, 0, 0, 0], None)]
+    got = rows(embed_dedup.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v], k) for i, v, k in data], "vec_id long, embedding array<float>, label int")))
+    assert got == sorted([(None, 0, None, True), (1, 0, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (6, 2, 4, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (10, 0, 10, True)], key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def test_links_are_counted_across_blocks(spark, monkeypatch):
+    for name, value in {"BLOCK": 8, "WIDE": 16, "FEWER": 3}.items():
+        monkeypatch.setattr(embed_dedup, name, value)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + s * rng.normal(size=(n, 16)) for c, s, n in zip(rng.normal(size=(3, 16)), (0.2, 0.28, 0.3), (70, 20, 5))])
+    x[11] = x[12] = x[13]
+    want = by_brute_force(x)
+    assert max(r[1] for r in want) > 20
+    assert rows(embed_dedup.near_duplicates(vectors(spark, x))) == want
+
+
 def test_scores_are_finite():
     net = quality_cnn.fit([])
     assert all(math.isfinite(quality_cnn.Scorer(net).score(t)) for t in ("", "a", "é" * 1000))
