@@ -7,7 +7,8 @@ bit at a time, until the subtrees reached hold enough different candidates. A le
 strings are never cut off. Candidates are ranked by exact distance, and the blocks' best are merged.
 
 Every query meets every block, as a stated query set in blocks against all rows; a block's task holds its own vectors
-and streams the queries by.
+and streams the queries by. A share of a block is fixed, not a number, so recall does not fall with the table: where
+distances are nearly all alike, hash strings tell little, and a forest has to look at many vectors to find the nearest.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.llm.common import Scratch
+
 #: Vectors a block, on average.
 BLOCK = 8192
 #: Trees, bits of a hash string, and candidates (a share of the block) at which the ascent ends.
-TREES, BITS, CANDIDATES = 64, 24, 0.45
+TREES, BITS, CANDIDATES = 64, 24, 0.35
 #: Vectors of a block that the hyperplanes' medians are fitted on.
 SAMPLE = 2048
 
@@ -138,7 +141,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, share: float = CA
     as candidates; a repeated query row gives its neighbours once. Vectors of another length than most take part among
     their own length only. An empty table gives no rows.
     """
-    rows = usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"])
+    held = Scratch(vectors.sparkSession, "forest")
+    rows = held.table(usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]), "vectors")
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
     length = F.size("vector").cast("long")

@@ -201,9 +201,10 @@ def _seeds(nodes: DataFrame, tables: int, ahead: int, seed: int) -> DataFrame:
     return ordered.select("node", "grp", "tab", "vector").mapInArrow(lambda b: _adjacent(b, ahead), "a long, b long, sim double")
 
 
-def _complete(nodes: DataFrame, found: DataFrame, threshold: float) -> bool:
-    """Whether no node of a sample of each size of group has a link to another component, or out of none."""
-    sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")).hint("merge"), "component").select("node", "component", F.least(F.floor(F.log2("size")), F.lit(12)).cast("int").alias("stratum"))
+def _complete(nodes: DataFrame, found: DataFrame, sizes: DataFrame, threshold: float) -> bool:
+    """Whether no node of a sample of each size of group has a link to another component, or out of none; sizes:
+    component, size."""
+    sized = found.join(sizes.hint("merge"), "component").select("node", "component", F.least(F.floor(F.log2("size")), F.lit(12)).cast("int").alias("stratum"))
     placed = nodes.select("node", "grp", "vector").join(sized.hint("merge"), "node", "left").withColumn("stratum", F.coalesce("stratum", F.lit(0))).withColumn("component", F.coalesce("component", "node"))
     # At most MOST nodes of each of 13 strata.
     most = {s: min(MOST, max(AUDITED, SHARE * math.isqrt(n))) / n for s, n in placed.groupBy("stratum").count().collect()}
@@ -289,13 +290,12 @@ def _count_links(threshold: float):
     return compare
 
 
-def _counts(nodes: DataFrame, found: DataFrame, threshold: float, held: Scratch) -> DataFrame:
+def _counts(nodes: DataFrame, found: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """node, n: links of each node to others, all of which are in its component; nodes: with weight.
 
     A component of m nodes is cut into blocks, and each pair of blocks is one task: a node is sent once a block.
     """
-    sizes = held.table(found.groupBy("component").agg(_blocks(F.count("*")).alias("blocks")), "sizes")
-    placed = nodes.join(found.hint("merge"), "node").join(sizes.hint("merge"), "component")
+    placed = nodes.join(found.hint("merge"), "node").join(sizes.select("component", _blocks(F.col("size")).alias("blocks")).hint("merge"), "component")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = placed.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "own", "node", "weight", "vector")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "node")
@@ -337,15 +337,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             held.drop(met, *([lists] if lists else []))
             lists = after
         found = held.table(components(reduce(DataFrame.unionByName, links), held), "components")
-        if _complete(nodes, found, threshold):
+        sizes = held.table(found.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        if _complete(nodes, found, sizes, threshold):
             break
         k *= 2
     else:
         links.append(held.table(_all_links(nodes, threshold), "links"))
         found = held.table(components(reduce(DataFrame.unionByName, links), held), "components")
+        sizes = held.table(found.groupBy("component").agg(F.count("*").alias("size")), "sizes")
 
     weighed = nodes.select("node", "vector").join(classes.select("node", "weight").hint("merge"), "node")
-    told = classes.join(_counts(weighed, found, threshold, held).hint("merge"), "node", "left").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = classes.join(_counts(weighed, found, sizes, threshold).hint("merge"), "node", "left").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     told = held.table(told.select(*same, "rep", "component", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links")), "told")
     firsts = held.table(told.groupBy("component").agg(F.min("rep").alias("first")), "firsts")
     told = held.table(told.join(firsts.hint("merge"), "component").select(*same, "links", "first"), "told")

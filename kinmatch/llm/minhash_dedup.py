@@ -10,6 +10,9 @@ components. Then, where a bucket holds several components, the signatures of its
 in blocks of bounded size, and what is sent on is that a document may be linked with a component - one row, however many
 of its members are alike. Such a document meets all members of that component, again in blocks, with the texts at hand,
 until one link is confirmed. So every link between components is found, if not each of several.
+
+Joins with one row a class, bucket or component have a written table on that side, so adaptive execution can split the
+partition of a hot one.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import wordhash
-from kinmatch.llm.common import Scratch
+from kinmatch.llm.common import Scratch, portions
 from kinmatch.llm.components import components
 
 #: A pair of the threshold similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
@@ -31,8 +34,9 @@ BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Minhashes that a step of the verification adds, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 40, 1e-4
-#: Side of a block of bucket members that are compared at once.
-BLOCK = 256
+#: Side of a block of bucket members that are compared at once, and of one where there are more than FEWER such blocks;
+#: bytes of texts in a block that holds them, and of the shingle sets that a worker keeps.
+BLOCK, WIDE, FEWER, BLOCK_BYTES, KEPT_BYTES = 256, 2048, 16, 8 << 20, 64 << 20
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -101,7 +105,7 @@ def plausible(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarra
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         sizes, ones, twos, keys, marks = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text or "", n)
@@ -135,17 +139,21 @@ def _prune(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with both texts -> the pairs whose sets overlap by percent or more."""
     held: dict[int, np.ndarray] = {}
+    bytes_ = 0
     for batch in batches:
         a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "x", "y"))
         keep = []
         for i in range(len(a)):
             sets = []
             for key, text in ((a[i], x[i]), (b[i], y[i])):
-                if key not in held:
-                    if len(held) >= 256:
+                if (found := held.get(key)) is None:
+                    found = shingles(text, n)
+                    if bytes_ + found.nbytes > KEPT_BYTES:
                         held.clear()
-                    held[key] = shingles(text, n)
-                sets.append(held[key])
+                        bytes_ = 0
+                    held[key] = found
+                    bytes_ += found.nbytes
+                sets.append(found)
             both = len(np.intersect1d(*sets, assume_unique=True))
             if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
                 keep.append(i)
@@ -221,6 +229,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(lambda b: _confirm(b, n, percent), "a long, b long")
 
 
+def _blocks(n: Column) -> Column:
+    """Blocks of n members: small ones spread the work, wide ones bound what is sent."""
+    return F.when(n <= BLOCK * FEWER, F.ceil(n / BLOCK)).otherwise(F.greatest(F.lit(FEWER), F.ceil(n / WIDE))).cast("int")
+
+
+def _text_blocks(n: Column, size: Column) -> Column:
+    """Blocks of n members with texts of `size` bytes together."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
 def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of two sides of each key, dealt to tasks of bounded size: `near` blocks of the left by `far` of the right."""
     own = F.xxhash64("doc_id")
@@ -247,7 +265,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     described = held.table(rows.mapInArrow(lambda b: _describe(b, n, percent), "doc_id long, hash long, n_shingles long, sum long, xor long, bands array<long>, marks binary"), "described")
     # One row an id: that of the smallest hash of the text.
     live = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("hash", "n_shingles", "sum", "xor")).alias("x")).select("doc_id", "x.*")
-    classes = live.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep"))
+    classes = held.table(live.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep")), "classes")
     members = held.table(live.join(classes.hint("merge"), ["n_shingles", "sum", "xor"]).select("doc_id", "hash", "rep"), "members")
     chosen = members.where("doc_id = rep").select("doc_id", "hash")
     sized = described.where("bands IS NOT NULL").join(chosen.hint("merge"), ["doc_id", "hash"], "left_semi")
@@ -255,7 +273,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top")
-    shared = held.table(banded.join(buckets.select("bucket", "hub").hint("merge"), "bucket"), "shared")
+    buckets = held.table(buckets.select("bucket", "hub"), "buckets")
+    shared = held.table(banded.join(buckets.hint("merge"), "bucket"), "shared")
     some = shared.select("doc_id").distinct().join(reps.select("doc_id", "hash").hint("merge"), "doc_id")
     texts = held.table(rows.join(some.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
     marks = reps.select("doc_id", "n_shingles", "marks")
@@ -272,19 +291,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     placed = shared.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    work = placed.join(open_.hint("merge"), "bucket").withColumn("near", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("far", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = held.table(open_.select("bucket", "main", _blocks(F.col("others")).alias("near"), _blocks(F.col("size")).alias("far")), "open")
+    work = placed.join(open_.hint("merge"), "bucket")
     # Those outside of the bucket's main component meet all.
     sides = _sides(work.where("component <> main").select("bucket", "near", "far", "doc_id", "component"), work.select("bucket", "near", "far", "doc_id", "component"), "bucket")
     sides = sides.join(marks.hint("merge"), "doc_id").select("task", "side", F.col("doc_id").alias("id"), "component", F.col("n_shingles").alias("n"), "marks")
     sides = sides.repartition("task").sortWithinPartitions("task", "side", "id")
     near = held.table(sides.mapInArrow(lambda b: _near_components(b, threshold), "id long, component long").distinct(), "near")
 
-    sizes = reps.select("doc_id").join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    asked = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("near"))
-    inside = sizes.join(asked.hint("merge"), "component")
-    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("far"), F.first("near").alias("near"))
+    # Documents that may be linked with a component meet its members, with the texts at hand.
+    weights = texts.select("doc_id", F.octet_length("text").alias("bytes"))
+    sizes = weights.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "bytes")
+    asking = near.withColumnRenamed("id", "doc_id")
+    asked = asking.join(weights.hint("merge"), "doc_id").groupBy("component").agg(_text_blocks(F.count("*"), F.sum("bytes")).alias("near"))
+    inside = sizes.groupBy("component").agg(_text_blocks(F.count("*"), F.sum("bytes")).alias("far"))
+    blocks = held.table(inside.join(asked.hint("merge"), "component"), "blocks")
     wide = lambda rows: rows.join(blocks.hint("merge"), "component").select("component", "near", "far", "doc_id")
-    sides = _sides(wide(near.withColumnRenamed("id", "doc_id")), wide(sizes), "component")
+    sides = _sides(wide(asking), wide(sizes), "component")
     sides = sides.join(marks.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id").select("task", "side", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "marks", "text")
     sides = sides.repartition("task").sortWithinPartitions("task", "side", "id")
     more = sides.mapInArrow(lambda b: _first_links(b, n, percent), "a long, b long")
@@ -294,6 +317,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     reached = members.join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
     reached = reached.select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
     kind = docs.schema[id_col].dataType
-    out = described.select("doc_id", "n_shingles").join(reached.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
-    component = F.coalesce("_component", "doc_id")
-    return out.select(F.col("doc_id").cast(kind).alias(id_col), "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
+    told = described.where("doc_id IS NOT NULL").select("doc_id", "n_shingles").join(reached.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    told = told.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component"))
+    out = told.unionByName(described.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("doc_id").cast(kind).alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))

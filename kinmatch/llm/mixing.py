@@ -19,8 +19,9 @@ from kinmatch.llm.common import WORD_PATTERN, Scratch
 WEIGHTS = (1, 2, 3)
 #: A source, and so a document, is taken at most so many times over.
 CAP = 3
-#: Hash buckets of a source's queue, and buckets of virtual time up to 1.
-BUCKETS = 4096
+#: Hash buckets of a source's queue, and buckets of virtual time up to 1, at least; records a bucket, about. Their number
+#: only divides the work: any gives the same mix.
+BUCKETS, ROWS = 4096, 1_000_000
 #: Salt of the shuffling hash.
 SALT = "mix"
 
@@ -61,8 +62,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
         (F.col(carry) if carry else F.lit(0).cast("long")).alias("carried"),
-    ).withColumn("bucket", F.shiftright("key", 60 - BUCKETS.bit_length() + 1))
+    )
     rows = held.table(rows, "sizes")  # texts are read once
+    buckets = 1 << (max(BUCKETS, rows.count() // ROWS) - 1).bit_length()  # the count is in the files' footers
+    rows = rows.withColumn("bucket", F.shiftright("key", 60 - buckets.bit_length() + 1))
 
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     repeated = repeated.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("done")) / F.col("target"))
     repeated = repeated.where(F.col("epoch") * F.col("source_size") + F.col("done") - F.col("size") < F.col("target"))
     # Finish times spread evenly up to 1; beyond it there is at most one repetition a source.
-    slot = F.least(F.floor(F.col("finish") * BUCKETS), F.lit(BUCKETS)).cast("int")
+    slot = F.least(F.floor(F.col("finish") * buckets), F.lit(buckets)).cast("int")
     repeated = repeated.select("budget", "size", slot.alias("slot"), F.struct("finish", "source_key", "epoch", "key", "doc_id", "carried").alias("place"))
     slots = repeated.groupBy("slot").agg(F.sum("size").alias("slot_size"))
     slots = slots.withColumn("before", F.sum("slot_size").over(Window.orderBy("slot")) - F.col("slot_size")).drop("slot_size")

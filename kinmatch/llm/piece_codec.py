@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.llm.common import portions
+
 SPACE = "▁"
 #: Entries of each of a worker's three caches; at about 0.4 KB each this bounds them to some 120 MB.
 CACHE_PARTS = 100_000
@@ -296,8 +298,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        # Ids of a batch's texts are held at once, so batches are cut small when they are kept.
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)) if keep else batches:
+        # Ids of a portion's texts are held at once, so portions are small when they are kept.
+        for batch in portions(batches, 1, *([1 << 20] if keep else [])):
             rows = ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
                 n, ids, decoded = own.described(text or "")

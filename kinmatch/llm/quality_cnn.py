@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import is_held_out
+from kinmatch.llm.common import fields, is_held_out, portions, without
 
 #: Labelled rows used for fitting, at most so many of each class.
 SAMPLE = {0: 1200, 1: 1200}
@@ -90,11 +90,11 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate: float = 0.01, most_blocks: int = 96) -> Network:
+def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate: float = 0.01) -> Network:
     """Trains by Adam on the labelled rows (held-out ids are left out); the classes weigh alike.
 
-    A training step sees a random run of at most most_blocks blocks of a document, one in three times a short run, so
-    that short texts are learned too; scoring covers all of every text.
+    A training step sees the whole of a text or, one in three times, a short run of it, so that short texts are learned
+    too.
     Only maxima pass gradients on, so a step touches few filter positions.
     """
     rng = np.random.default_rng(seed)
@@ -127,7 +127,7 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate:
             for i in batch:
                 doc = data[i]
                 n = (len(doc) - WIDTH) // STRIDE + 1
-                most = int(rng.integers(8, 128)) if rng.random() < 0.33 else most_blocks * BLOCK
+                most = int(rng.integers(8, 128)) if rng.random() < 0.33 else n
                 if n > most:
                     start = int(rng.integers(0, n - most + 1))
                     doc = doc[start * STRIDE : (start + most - 1) * STRIDE + WIDTH]
@@ -164,27 +164,25 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = 6, seed: int = 7, rate:
     return Network(net["embed"], net["filters"], net["bias"], net["dense"], float(net["offset"][0]))
 
 
-def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: bool = False, prefix: str = "") -> DataFrame:
     """id_col, score (0 to 1) and predicted (score >= threshold) of every whole text; with keep, all columns of docs first.
 
     Only the text is an input of the score. A null text counts as empty, which is one position of zero bytes; repeated
-    rows each give a row; null ids pass through; an empty table gives no rows. With keep, score and predicted must not
-    be columns of docs already (ValueError); without, other columns are not read.
+    rows each give a row; null ids pass through; an empty table gives no rows. prefix is put before the names score and
+    predicted; with keep, columns of docs with such a name, in upper or lower case, give way to them; without, other
+    columns are not read.
     """
-    kept = docs if keep else docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    names = [c.lower() for c in kept.columns]
-    if {"score", "predicted"} & set(names):
-        raise ValueError("columns score and predicted are there already")
+    added = [f"{prefix}score", f"{prefix}predicted"]
+    kept = without(docs, added) if keep else docs.select(F.col(id_col), F.col(text_col).cast("string"))
     columns, at = kept.columns, kept.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(net)
-        for batch in batches:
+        for batch in portions(batches, at):
             scores = [own.score(text or "") for text in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.columns if keep else [batch.column(0)]), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=[*(columns if keep else [id_col]), "score", "predicted"],
+                names=[*(columns if keep else [id_col]), *added],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (kept.schema.fields if keep else [kept.schema[id_col]]))
-    return kept.mapInArrow(score, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(score, f"{fields(kept if keep else kept.select(id_col))}, `{added[0]}` double, `{added[1]}` int")

@@ -1,11 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a run of words between sentence or line ends. Each word maps to a class of the grammar's alphabet (insult,
-threat, target, negation, reported speech, other). Five small transducers - one per class - are composed into one
-automaton, built once; a clause runs through it word by word, and the state it ends in names the pattern that the
-clause matches: which attacks it holds, whether they are aimed at a target, and whether negation or reported speech
-governs them. Patterns have weights; the score of a document is the logistic of the sum of its clauses' weights, in
-which equal patterns count with falling returns.
+A clause is a run of words between sentence or line ends. Each word maps to a symbol (insult, threat, target, negation,
+reported speech, other), and a cascade of transducers rewrites the symbols of a clause from left to right:
+
+* negation marks the attacks that stand in its reach,
+* reported speech marks the attacks that follow a word of saying,
+* target decides whether an attack is aimed: at a target shortly before it, or shortly behind it, for which the
+  transducer holds the attack back until the target, or the end of the reach, comes,
+* insult and threat, side by side, turn their attacks into patterns: (kind, aimed, negated, reported).
+
+The transducers are composed into one, built once, whose arcs put out sets of patterns; a clause's set is the union
+along its path, and its weight is the sum of its patterns' weights. A document is scored by the logistic of the sum
+over its clauses, in which equal patterns count with falling returns.
 
 The weights, and insult words and stems beside the seeds below, are learned from a bounded sample of labelled rows.
 """
@@ -15,7 +21,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import is_held_out
+from kinmatch.llm.common import is_held_out, portions
 
 #: Labelled rows used for fitting, at most so many of each class.
 SAMPLE = {0: 5000, 1: 2000}
@@ -33,15 +39,15 @@ SAMPLE = {0: 5000, 1: 2000}
 INSULTS = "idiot idiots moron morons stupid loser losers pathetic scum worthless trash clown disgusting imbecile dumb vermin idiotisch dummkopf abschaum arschloch wertlos crétin débile ordure minable estúpido imbécil basura inútil"
 THREATS = "kill murder destroy hurt attack beat burn stab töten umbringen zerstören tuer détruire frapper matar destruir golpear"
 TARGETS = "you your yours he she they them u du dich dir ihr euch sie tu toi vous eux ustedes tú vosotros ellos"
-NEGATIONS = "not never isn't aren't wasn't don't doesn't neither nor nicht kein keine niemals jamais aucun nunca jamás"
+NEGATIONS = "no not never isn't aren't wasn't don't doesn't neither nor nicht kein keine niemals jamais aucun nunca jamás"
 REPORTS = "said says called calls claimed wrote quoted alleged reported allegedly sagte nannte behauptete angeblich disait appelé prétend dijo llamó afirmó"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Words that stand between clauses.
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
 ENDS = frozenset(".!?;:\n")
-#: How far, in words, a negation governs what follows it.
-NEGATION_REACH = 3
+#: How far, in words, a negation governs what follows it, and a target lies from an attack on either side.
+NEGATION_REACH, TARGET_REACH = 3, 3
 
 #: Pattern: (attack kind, aimed at a target, negated, reported). One weight each, with a prior of these values.
 PATTERNS = [(kind, *rest) for kind in (INSULT, THREAT) for rest in itertools.product((False, True), repeat=3)]
@@ -54,56 +60,130 @@ def _prior(pattern: tuple[int, bool, bool, bool]) -> float:
     return weight * (0.4 if negated else 1.0) * (0.6 if reported else 1.0)
 
 
-def _insult(state: int, symbol: int) -> int:
-    """0: none yet, 1: seen."""
-    return 1 if symbol == INSULT else state
+class Negation:
+    """State: words that a negation still reaches. An attack comes out as (kind, negated), other symbols as they are."""
+
+    start = 0
+
+    def step(self, left: int, symbol: int) -> tuple[int, list]:
+        if symbol == NEGATION:
+            return NEGATION_REACH, [OTHER]
+        return max(0, left - 1), [(symbol, left > 0) if symbol in (INSULT, THREAT) else symbol]
+
+    def end(self, left: int) -> list:
+        return []
+
+
+class Report:
+    """State: whether a word of saying came. An attack comes out as (kind, negated, reported)."""
+
+    start = False
+
+    def step(self, said: bool, symbol) -> tuple[bool, list]:
+        if symbol == REPORT:
+            return True, [OTHER]
+        return said, [(*symbol, said) if isinstance(symbol, tuple) else symbol]
+
+    def end(self, said: bool) -> list:
+        return []
+
+
+class Target:
+    """State: words that the last target, or an attack aimed at it, still reaches, and for each kind an attack that waits
+    for a target behind it: (attack, words left). Attacks come out as (kind, negated, reported, aimed); all else is dropped."""
+
+    start = (0, None, None)
+
+    def step(self, state: tuple, symbol) -> tuple[tuple, list]:
+        near, *waiting = state
+        out = []
+        if symbol == TARGET:
+            out += [(*w[0], True) for w in waiting if w]
+            return (TARGET_REACH, None, None), out
+        for k, w in enumerate(waiting):
+            if w and w[1] == 1:
+                out.append((*w[0], False))
+            waiting[k] = (w[0], w[1] - 1) if w and w[1] > 1 else None
+        if not isinstance(symbol, tuple):
+            return (max(0, near - 1), *waiting), out
+        if near:
+            return (TARGET_REACH, *waiting), [*out, (*symbol, True)]
+        k = 0 if symbol[0] == INSULT else 1
+        if waiting[k]:
+            out.append((*waiting[k][0], False))
+        waiting[k] = (symbol, TARGET_REACH)
+        return (0, *waiting), out
+
+    def end(self, state: tuple) -> list:
+        return [(*w[0], False) for w in state[1:] if w]
+
+
+class Attack:
+    """One state: turns attacks of its kind into patterns, and lets the other kind pass to the other transducer."""
+
+    start = 0
+
+    def __init__(self, kind: int):
+        self.kind = kind
 
+    def step(self, state: int, symbol) -> tuple[int, list]:
+        if isinstance(symbol, tuple) and symbol[0] == self.kind:
+            kind, negated, reported, aimed = symbol
+            return state, [PATTERN_ID[kind, aimed, negated, reported]]
+        return state, [symbol]
 
-def _threat(state: int, symbol: int) -> int:
-    return 1 if symbol == THREAT else state
+    def end(self, state: int) -> list:
+        return []
 
 
-def _target(state: int, symbol: int) -> int:
-    return 1 if symbol == TARGET else state
+CASCADE = (Negation(), Report(), Target(), Attack(INSULT), Attack(THREAT))
 
 
-def _report(state: int, symbol: int) -> int:
-    return 1 if symbol == REPORT else state
+def cascade_step(states: tuple, symbol: int) -> tuple[tuple, int]:
+    """One symbol through all transducers: their next states, and the patterns put out, as a bit set."""
+    flow, after = [symbol], []
+    for machine, state in zip(CASCADE, states):
+        out = []
+        for x in flow:
+            state, some = machine.step(state, x)
+            out += some
+        flow = out
+        after.append(state)
+    return tuple(after), sum(1 << p for p in set(flow))
 
 
-def _negation(state: tuple[int, int], symbol: int) -> tuple[int, int]:
-    """Words that a negation still reaches, and whether every attack so far was within such reach (0: no attack)."""
-    left, seen = state
-    if symbol == NEGATION:
-        return NEGATION_REACH, seen
-    if symbol in (INSULT, THREAT):
-        now = 2 if left else 1
-        seen = now if not seen else min(seen, now)
-    return max(0, left - 1), seen
+def cascade_end(states: tuple) -> int:
+    """What is put out at a clause's end."""
+    flow: list = []
+    for machine, state in zip(CASCADE, states):
+        out = []
+        for x in flow:
+            state, some = machine.step(state, x)
+            out += some
+        flow = out + machine.end(state)
+    return sum(1 << p for p in set(flow))
 
 
-def compose() -> tuple[list[list[int]], list[int]]:
-    """The product of the five transducers: next state by state and symbol, and each state's pattern (-1: no attack)."""
-    start = (0, 0, 0, 0, (0, 0))
-    number, todo, table = {start: 0}, [start], []
+def compose() -> tuple[list[list[int]], list[list[int]], list[int]]:
+    """The composed transducer: next state and output by state and symbol, and each state's output at a clause's end."""
+    start = tuple(m.start for m in CASCADE)
+    number, todo, table, output = {start: 0}, deque([start]), [], []
     while todo:
-        row = []
-        insult, threat, target, report, negation = todo.pop(0)
+        states = todo.popleft()
+        row, puts = [], []
         for symbol in range(6):
-            to = (_insult(insult, symbol), _threat(threat, symbol), _target(target, symbol), _report(report, symbol), _negation(negation, symbol))
+            to, patterns = cascade_step(states, symbol)
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
             row.append(number[to])
+            puts.append(patterns)
         table.append(row)
-    final = []
-    for insult, threat, target, report, (_, seen) in number:
-        kind = INSULT if insult else THREAT if threat else OTHER
-        final.append(PATTERN_ID[kind, bool(target), seen == 2, bool(report)] if kind else -1)
-    return table, final
+        output.append(puts)
+    return table, output, [cascade_end(s) for s in number]
 
 
-NEXT, FINAL = compose()
+NEXT, OUTPUT, FINAL = compose()
 
 
 @dataclass(frozen=True)
@@ -128,18 +208,24 @@ def seeds() -> dict[str, int]:
     return out
 
 
-def clauses(tokens: list[str], classes: list[int]) -> Iterator[int]:
-    """The pattern of each clause that holds an attack. classes: of each token, -1 for a clause's end."""
+def clauses(classes: list[int]) -> Iterator[int]:
+    """The patterns, as a bit set, of each clause that holds an attack. classes: of each token, -1 for a clause's end."""
     if INSULT not in classes and THREAT not in classes:
         return
-    state = 0
-    for symbol in itertools.chain(classes, (-1,)):
-        if symbol >= 0:
-            state = NEXT[state][symbol]
-        else:
-            if FINAL[state] >= 0:
-                yield FINAL[state]
-            state = 0
+    at, whole = 0, len(classes)
+    while at < whole:
+        try:
+            to = classes.index(-1, at)
+        except ValueError:
+            to = whole
+        clause = classes[at:to]
+        if INSULT in clause or THREAT in clause:
+            state = found = 0
+            for symbol in clause:
+                found |= OUTPUT[state][symbol]
+                state = NEXT[state][symbol]
+            yield found | FINAL[state]
+        at = to + 1
 
 
 class Scorer:
@@ -163,7 +249,7 @@ class Scorer:
                         memo.update(self.ends)
                     if len(word) < 40:
                         memo[word] = symbol
-        return list(clauses(tokens, classes))
+        return list(clauses(classes))
 
     def score(self, text: str) -> tuple[float, int]:
         found = self.patterns(text)
@@ -171,11 +257,14 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, z)))), len(found)
 
 
-def features(patterns: Iterable[int]) -> np.ndarray:
-    """log2(1 + count) of each pattern, and 1 for the intercept."""
+def features(found: Iterable[int]) -> np.ndarray:
+    """log2(1 + clauses with it) of each pattern, and 1 for the intercept."""
     x = np.zeros(len(PATTERNS) + 1)
-    for p, n in Counter(patterns).items():
-        x[p] = math.log2(1 + n)
+    for patterns, n in Counter(found).items():
+        for p in range(len(PATTERNS)):
+            if patterns >> p & 1:
+                x[p] += n
+    x = np.log2(1 + x)
     x[-1] = 1.0
     return x
 
@@ -263,7 +352,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(grammar)
-        for batch in batches:
+        for batch in portions(batches, 1):
             found = [own.score(text or "") for text in batch.column(1).to_pylist()]
             scores = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays(

@@ -61,6 +61,30 @@ def test_toxicity_grammar():
     assert score("they said you are an idiot") < score("you are an idiot")
     assert score("not now. you idiot") == score("you idiot"), "a negation ends with its clause"
     assert score("") == score("a fine day") < 0.5 < score("you are a stupid moron")
+    assert score("I will kill you, you idiot") > max(score("I will kill you"), score("you idiot")), "both kinds of attack count"
+    assert score("no idiot you") < score("idiot you")
+    assert score("the idiot called you names") > score("he called the idiot names"), "reported speech governs what follows"
+    assert score("kill them") > score("kill time while the train that carries them is late"), "a target must be near"
+
+
+def test_composed_transducer_equals_the_cascade():
+    rng = random.Random(4)
+    for _ in range(3000):
+        clause = [rng.choice([0, 0, 1, 2, 3, 4, 5]) for _ in range(rng.randint(1, 14))]
+        flow = list(clause)  # each transducer runs over the whole output of the one before
+        for machine in toxicity.CASCADE:
+            state, out = machine.start, []
+            for symbol in flow:
+                state, some = machine.step(state, symbol)
+                out += some
+            flow = out + machine.end(state)
+        want = sum(1 << p for p in {x for x in flow})
+        got = list(toxicity.clauses([*clause, -1]))
+        assert got == ([want] if {1, 2} & set(clause) else [])
+        attacks = sum(s in (1, 2) for s in clause)
+        assert len(flow) == attacks, "each attack comes out once"
+        kinds = {toxicity.PATTERNS[p][0] for p in flow}
+        assert kinds == {s for s in clause if s in (1, 2)}
 
 
 def test_toxicity_learns_and_scores(spark):
@@ -249,8 +273,9 @@ def test_quality_network(spark):
     assert scorer.score(long) == scorer.score(long)
     kept = quality_cnn.score_documents(docs(spark, texts[:3]), net, keep=True)
     assert kept.columns[: len(docs(spark, []).columns)] == docs(spark, []).columns
-    with pytest.raises(ValueError):
-        quality_cnn.score_documents(docs(spark, texts[:3]).withColumn("score", F.lit(1)), net, keep=True)
+    clash = docs(spark, texts[:3]).withColumn("Score", F.lit(7))
+    assert {r.score for r in quality_cnn.score_documents(clash, net, keep=True).collect()} == {got[i].score for i in range(3)}
+    assert {r.Score for r in quality_cnn.score_documents(clash, net, keep=True, prefix="new_").collect()} == {7}
     assert quality_cnn.score_documents(docs(spark, []), net).count() == 0
     assert quality_cnn.Scorer(quality_cnn.fit([])).score("x") > 0.5
 
