@@ -1,14 +1,18 @@
 """Licence scan with a positional rare-token index.
 
-Templates are short, well-known runs of licence words. Each is indexed under its rarest words by corpus IDF; a word of a
-file that is such an anchor proposes the template at the one relative position where the two would coincide. A proposed
-place is scored by the share of the template's IDF weight whose words stand where they should, and holds only if the
-template's mandatory phrase stands there word for word. DataFrame operations only, and none of them moves a text.
+Templates are short, well-known runs of licence words, and each has a mandatory phrase. The index posts the words of
+every phrase with their relative positions. A file is looked up under its highest-IDF licence words: as a phrase can only
+hold if all of its words are there, these are the phrase's rarest words by corpus IDF. Each gives the places where the
+template would begin; the postings of the words are intersected, so a place is proposed only where they agree. There the
+phrase is verified word for word, and the place is scored by the share of the template's IDF weight in position.
+
+DataFrame operations only, and none of them moves a text. Templates are data of the plan: one expression serves all.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +25,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Share of a template's weight that must be in place.
 THRESHOLD = 0.6
-#: Anchors of a template of more than three words.
-ANCHORS = 3
+#: Words of a phrase whose postings are intersected.
+ANCHORS = 2
 
 
 @dataclass(frozen=True)
@@ -82,6 +86,36 @@ def word_regex(words: list[str]) -> str:
     return f"(?i)(?<![{edge}]){branch(words)}(?![{edge}])"
 
 
+def inverse_frequencies(rows: DataFrame, vocab: list[str]) -> dict[str, float]:
+    """IDF of the words over all rows (column _text), from one pass; the driver gets one row a word at most."""
+    marked = F.col("_text").rlike(word_regex(vocab))
+    found = F.array_distinct(F.filter(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD), F.lit(0)), lambda w: w.isin(vocab)))
+    # The empty word counts the rows.
+    words = F.concat(F.when(marked, found).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    df = {r[0]: r[1] for r in rows.select(F.explode(words).alias("word")).groupBy("word").count().collect()}
+    # Rounded, so that a last bit of a logarithm never decides between words.
+    return {w: round(math.log((df.get("", 0) + 1) / (df.get(w, 0) + 0.5)), 6) for w in vocab}
+
+
+def index_of(templates: tuple[Template, ...], idf: dict[str, float]) -> Column:
+    """The templates as one constant: number, rarest words of the phrase, whole phrase, and weighted words, each with its position."""
+
+    def entry(t: int, template: Template) -> Column:
+        first, phrase = template.phrase
+        place = lambda i, w: F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"))
+        rare = sorted(((first + i, w) for i, w in enumerate(phrase) if w in idf), key=lambda x: (-idf[x[1]], x[0]))[:ANCHORS]
+        known = [(i, w) for i, w in enumerate(template.words) if w in idf]
+        total = sum(idf[w] for _, w in known) or 1.0
+        return F.struct(
+            F.lit(t).alias("t"),
+            F.array(*(place(i, w) for i, w in rare)).alias("rare"),
+            F.array(*(place(first + i, w) for i, w in enumerate(phrase))).alias("phrase"),
+            F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(idf[w] / total).alias("weight")) for i, w in known)).alias("words"),
+        )
+
+    return F.array(*(entry(t, x) for t, x in enumerate(templates)))
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -90,53 +124,35 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     one. A null or empty text has no words. Repeated rows each give a row; null ids pass through; an empty table gives
     no rows; other columns are not read. A row's arrays are bounded by its own text.
     """
-    vocab = vocabulary(templates)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("_text"))
-    # A file without any indexed word can neither match nor count for the IDF of these words.
-    marked = rows.where(F.col("_text").rlike(word_regex(vocab)))
-    found = F.array_distinct(F.filter(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD), F.lit(0)), lambda w: w.isin(vocab)))
-    df = {r[0]: r[1] for r in marked.select(F.explode(found).alias("word")).groupBy("word").count().collect()}  # at most one row a vocabulary word
-    n = rows.count()
-    # Rounded, so that a last bit of a logarithm never decides between anchors.
-    idf = {w: round(math.log((n + 1) / (df.get(w, 0) + 0.5)), 6) for w in vocab}
-
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, template in enumerate(templates):
-        known = [(i, w) for i, w in enumerate(template.words) if w in idf]
-        ranked = sorted(known, key=lambda x: (-idf[x[1]], x[0]))
-        for i, w in ranked[: 1 if len(template.words) <= 3 else ANCHORS]:
-            postings.setdefault(w, []).append((t, i))
-
-    cells = [F.struct(F.lit(w).alias("w"), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in places)).alias("p")) for w, places in sorted(postings.items())]
-    index = F.map_from_entries(F.array(*cells))
-    words = F.when(F.col("_text").rlike(word_regex(sorted(postings))), F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = rows.select(id_col, F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("_words"))
-    spots = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(sorted(postings)))
-    proposed = F.flatten(F.transform(spots, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["at"] - p["i"]).alias("at")))))
-    out = out.withColumn("_proposed", F.array_distinct(proposed))
-
-    def stands(at: Column, word: str) -> Column:
-        # get() gives null outside of the array
-        return F.coalesce(F.get("_words", at) == word, F.lit(False))
-
-    def judged(x: Column) -> Column:
-        share, whole = F.lit(0.0), F.lit(False)
-        for t, template in reversed(list(enumerate(templates))):
-            known = [(i, w) for i, w in enumerate(template.words) if w in idf]
-            total = sum(idf[w] for _, w in known) or 1.0
-            got = F.lit(0.0)
-            for i, w in known:
-                got = got + F.when(stands(x["at"] + i, w), idf[w] / total).otherwise(0.0)
-            first, phrase = template.phrase
-            holds = F.lit(True)
-            for i, w in enumerate(phrase):
-                holds = holds & stands(x["at"] + first + i, w)
-            share = F.when(x["t"] == t, got).otherwise(share)
-            whole = F.when(x["t"] == t, holds).otherwise(whole)
-        return F.struct(x["t"].alias("t"), x["at"].alias("at"), F.least(F.round(share, 6), F.lit(1.0)).alias("share"), whole.alias("whole"))
-
-    out = out.withColumn("_judged", F.filter(F.transform("_proposed", judged), lambda x: x["whole"] & (x["share"] >= threshold)))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    idf = inverse_frequencies(rows, vocabulary(templates))
+    ranked = lambda phrase: sorted((w for w in phrase if w in idf), key=lambda w: -idf[w])[:ANCHORS]
+    anchors = sorted({w for x in templates for w in ranked(x.phrase[1])})
+
+    text = F.col("_text")
+    words = F.when(text.rlike(word_regex(anchors)), F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    out = rows.select(id_col, F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("_words"))
+    # Where the file's licence words stand.
+    spots = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(anchors))
+    out = out.withColumn("_spots", spots)
+
+    def starts(place: Column) -> Column:
+        """Where a template begins if its word at this place is one of the file's."""
+        return F.transform(F.filter("_spots", lambda x: x["w"] == place["w"]), lambda x: x["at"] - place["i"])
+
+    def stands(at: Column) -> Callable[[Column], Column]:
+        return lambda p: F.coalesce(F.get("_words", at + p["i"]) == p["w"], F.lit(False))  # get() gives null outside of the array
+
+    def proposed(x: Column) -> Column:
+        rest = F.slice(x["rare"], 2, ANCHORS)
+        agreed = F.aggregate(rest, F.array_distinct(starts(F.get(x["rare"], F.lit(0)))), lambda found, place: F.array_intersect(found, starts(place)))
+        held = F.filter(agreed, lambda at: F.forall(x["phrase"], stands(at)))
+        share = lambda at: F.aggregate(x["words"], F.lit(0.0), lambda sum_, p: sum_ + F.when(stands(at)(p), p["weight"]).otherwise(0.0))
+        return F.transform(held, lambda at: F.struct(x["t"].alias("t"), at.alias("at"), F.least(F.round(share(at), 6), F.lit(1.0)).alias("share")))
+
+    judged = F.filter(F.flatten(F.transform(index_of(templates, idf), proposed)), lambda x: x["share"] >= threshold)
+    nothing = F.array().cast("array<struct<t:int,at:int,share:double>>")
+    out = out.withColumn("_judged", F.when(F.size("_spots") > 0, judged).otherwise(nothing))
     base = [t for t, x in enumerate(templates) if x.base]
     label = F.array(*(F.lit(t.label) for t in templates))
     out = out.withColumn("_base", F.filter("_judged", lambda x: x["t"].isin(base)))
@@ -144,8 +160,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     def joined(places: str) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: F.get(label, x["t"])))), ",")
 
-    starts = F.transform("_base", lambda x: x["at"])
+    first = F.transform("_base", lambda x: x["at"])
     return out.select(
-        id_col, "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        id_col, "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(first).cast("long").alias("first_word"), F.array_max(first).cast("long").alias("last_word"),
         joined("_base").alias("base_labels"), joined("_judged").alias("labels"), F.coalesce(F.array_max(F.transform("_judged", lambda x: x["share"])), F.lit(0.0)).alias("score"),
     )

@@ -359,6 +359,60 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licence_places_against_brute_force(spark):
+    rng = random.Random(15)
+    vocab = [*licenses.vocabulary(licenses.TEMPLATES), *sorted(licenses.STOP), "lorem", "ipsum"]
+    texts = [None, "", "mit mit license license", "NULL-ID"]
+    for _ in range(250):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 3)):
+            some = rng.choice(licenses.TEMPLATES).text.split()
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):  # some with changed words
+                some[rng.randrange(len(some))] = rng.choice(vocab)
+            at = rng.randint(0, len(words))
+            words[at:at] = some
+        texts.append(rng.choice([" ", ", "]).join(words).replace("license", "License"))
+    data = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id IN (5, 6)"))  # repeated rows
+    lists = {i: re.findall("[0-9a-z]+", (t or "").lower()) for i, t in enumerate(texts)}
+    every = [*lists.values(), lists[5], lists[6]]
+    known = licenses.vocabulary(licenses.TEMPLATES)
+    idf = {w: round(math.log((len(every) + 1) / (sum(w in x for x in every) + 0.5)), 6) for w in known}
+    got = licenses.scan(data).collect()
+    assert len(got) == len(every)
+    for r in got:
+        words = lists[3 if r.doc_id is None else r.doc_id]
+        found = []
+        for x in licenses.TEMPLATES:
+            (first, phrase), total = x.phrase, sum(idf[w] for w in x.words if w in idf)
+            for at in range(-len(x.words), len(words)):
+                here = lambda i: words[at + i] if 0 <= at + i < len(words) else None  # noqa: B023, E731
+                share = sum(idf[w] for i, w in enumerate(x.words) if w in idf and here(i) == w) / total
+                if [here(first + i) for i in range(len(phrase))] == phrase and round(share, 6) >= licenses.THRESHOLD:
+                    found.append((x, at, min(1.0, share)))
+        base = [at for x, at, _ in found if x.base]
+        assert (r.n_base, r.first_word, r.last_word) == (len(base), min(base, default=None), max(base, default=None))
+        assert r.labels == ",".join(sorted({x.label for x, _, _ in found})) and r.base_labels == ",".join(sorted({x.label for x, _, _ in found if x.base}))
+        assert r.score == pytest.approx(max((s for _, _, s in found), default=0.0), abs=1e-6) and r.n_words == len(words)
+    assert len({r.labels for r in got}) > 10
+
+
+def test_quality_score_against_brute_force():
+    rng = np.random.default_rng(2)
+    w, e, f = quality_cnn.WIDTH, quality_cnn.EMBED, quality_cnn.FILTERS
+    net = quality_cnn.Network(rng.normal(size=(256, e)), rng.normal(size=(w, e, f)), rng.normal(size=f), rng.normal(size=2 * f), 0.3)
+    for n in (0, 1, 5, 6, 7, 64, 65, 600, 5000):
+        text = "".join(map(chr, rng.integers(32, 126, n)))
+        data = np.frombuffer(text.encode().ljust(w, b"\0"), np.uint8)
+        if (len(data) - w) % quality_cnn.STRIDE:
+            data = np.r_[data, np.uint8(0)]
+        signal = np.array([sum(net.embed[data[at + k]] @ net.filters[k] for k in range(w)) for at in range(0, len(data) - w + 1, quality_cnn.STRIDE)])
+        span, hop = quality_cnn.BLOCK * quality_cnn.CHUNK, quality_cnn.BLOCK * quality_cnn.HOP
+        n_blocks = -(-len(signal) // quality_cnn.BLOCK)
+        chunks = [np.maximum(signal[a : a + span].max(0) + net.bias, 0) for a in range(0, max(1, n_blocks - quality_cnn.CHUNK + quality_cnn.HOP) * quality_cnn.BLOCK, hop)]
+        z = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)]) @ net.dense + net.offset
+        assert quality_cnn.Scorer(net).score(text) == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))), abs=1e-4)
+
+
 # 9 MinHash near-dedup
 
 
