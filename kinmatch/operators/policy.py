@@ -44,17 +44,29 @@ def sweep(records: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: S
     once; no pair is repeated for each threshold. The grid is a literal of the plan.
     """
     grid = sorted({round(t, 6) for t in thresholds})
-    reached = sum((F.when(F.col(column) >= t, 1).otherwise(0) for t in grid[1:]), F.when(F.col(column) >= grid[0], 1).otherwise(0))
-    marked = scored.join(truth.select(*PAIR, F.lit(1).alias("hit")), PAIR, "left").withColumn("step", reached).where("step > 0")
+    values = F.array(*(F.lit(float(t)) for t in grid))
+    reached = F.size(F.filter(values, lambda t: F.col(column) >= t))
+    marked = scored.join(truth.select(*PAIR, F.lit(1).alias("hit")), PAIR, "left").withColumn("step", reached)
+    # Step 0 stays until the end: a filter on it would be pushed into the scores and evaluate them again for each threshold.
     steps = marked.groupBy("reference_id", "step").agg(F.count("*").alias("made"), F.count("hit").alias("tp"))
-    lists = steps.groupBy("reference_id").agg(F.collect_list(F.struct("step", "made", "tp")).alias("steps"))  # one entry a step
     true = truth.groupBy("reference_id").agg(F.count("*").alias("true_count"))
-    refs = references(records).select(F.col("entity_id").alias("reference_id"), "country").join(true, "reference_id", "left").join(lists, "reference_id", "left")
-    total = lambda k, field: F.coalesce(F.aggregate(F.filter("steps", lambda s: s["step"] >= k), F.lit(0).cast("long"), lambda x, s: x + s[field]), F.lit(0))
-    cells = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), total(k, "made").alias("made"), total(k, "tp").alias("tp")) for k, t in enumerate(grid, 1))))
-    rows = refs.select("country", F.coalesce("true_count", F.lit(0)).alias("true_count"), cells.alias("c")).select("country", "true_count", "c.*")
-    rows = rows.withColumn("score", score(F.col("tp"), F.col("made"), F.col("true_count")))
-    return rows.groupBy(*by, "threshold").agg(F.round(F.avg("score"), 9).alias("macro_f05"), F.sum("tp").alias("tp"), F.sum(F.col("made") - F.col("tp")).alias("fp"), F.sum(F.col("true_count") - F.col("tp")).alias("fn"))
+    refs = references(records).select(F.col("entity_id").alias("reference_id"), "country").join(true, "reference_id", "left").withColumn("true_count", F.coalesce("true_count", F.lit(0)))
+    # Each reference starts above the grid with nothing. What it has at a step it has down to the next one that it reaches.
+    none = F.lit(0).cast("long")
+    steps = refs.select("reference_id", "country", "true_count", F.lit(len(grid) + 1).alias("step"), none.alias("made"), none.alias("tp")).unionByName(steps, allowMissingColumns=True)
+    whole = Window.partitionBy("reference_id")
+    down = whole.orderBy(F.desc("step"))
+    rows = steps.select(
+        F.max("country").over(whole).alias("country"), F.max("true_count").over(whole).alias("true_count"), F.sum("made").over(down).alias("made"), F.sum("tp").over(down).alias("tp"),
+        (F.lead("step", 1, 0).over(down) + 1).alias("low"), F.least("step", F.lit(len(grid))).alias("step"),
+    ).where("low <= step AND true_count IS NOT NULL")
+    # Equal outcomes are counted before they meet the thresholds.
+    rows = rows.groupBy("country", "true_count", "made", "tp", "low", "step").agg(F.count("*").alias("n")).withColumn("score", score(F.col("tp"), F.col("made"), F.col("true_count")))
+    cells = rows.withColumn("at", F.explode(F.sequence("low", "step"))).withColumn("threshold", F.element_at(values, F.col("at")))
+    total = lambda c: F.sum(c * F.col("n"))
+    return cells.groupBy(*by, "threshold").agg(
+        F.round(total(F.col("score")) / F.sum("n"), 9).alias("macro_f05"), total(F.col("tp")).alias("tp"), total(F.col("made") - F.col("tp")).alias("fp"), total(F.col("true_count") - F.col("tp")).alias("fn")
+    )
 
 
 def pick(measured: DataFrame, highest: bool = False) -> DataFrame:

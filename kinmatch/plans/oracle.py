@@ -22,8 +22,8 @@ def _cte(name: str, body: str, *depends: str) -> None:
 
 _cte(
     "raw_records",
-    "SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS entity_id, (doc_id % 3 + 1)::INT AS source, lang AS country, substring(split_part(text, chr(10), 1), 1, 80) AS name_raw, "
-    f"substring(split_part(text, chr(10), 2), 1, 120) AS address_raw, {_norm('text')} AS text_norm FROM documents",
+    "SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS entity_id, (doc_id % 3 + 1)::INT AS source, lang AS country, split_part(text, chr(10), 1) AS name_raw, "
+    f"split_part(text, chr(10), 2) AS address_raw, {_norm('text')} AS text_norm FROM documents",
 )
 _cte(
     "records",

@@ -27,12 +27,26 @@ def normalized(sources: DataFrame, exact: bool = False) -> DataFrame:
     return out.withColumn("eligible", ((F.col("country_norm") != "") & (F.col("name_norm") != "") & (F.col("address_norm") != "")).cast("int"))
 
 
+_partitions: dict[tuple[str, str], int] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, dealt to all cores where its files have too few row groups to be read by all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _partitions:
+        _partitions[key] = rows.rdd.getNumPartitions()
+    want = spark.sparkContext.defaultParallelism
+    return rows if _partitions[key] >= want else rows.repartition(want)
+
+
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test documents seen as source rows: first line the name, second the address, language the country."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    line = lambda n, size: F.substring(F.split_part("text", F.lit("\n"), F.lit(n)), 1, size)
+    """The test documents seen as source rows: the whole first line is the name, the whole second the address, language
+    the country."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    line = lambda n: F.split_part("text", F.lit("\n"), F.lit(n))
     entity = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    return docs.select(entity.alias("entity_id"), line(1, 80).alias("business_name"), line(2, 120).alias("business_address"), F.col("lang").alias("country"))
+    return docs.select(entity.alias("entity_id"), line(1).alias("business_name"), line(2).alias("business_address"), F.col("lang").alias("country"))
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +55,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True links of the test documents: reference and target of one country whose whole normalized texts are equal."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     entity = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
     # The digest stands for the text in the shuffle.
     rows = docs.where("text IS NOT NULL").select(entity.alias("id"), (F.col("doc_id") % 3 + 1).alias("source"), F.col("lang").alias("country"), F.sha2(normalize(F.col("text")), 256).alias("digest"))
