@@ -128,7 +128,7 @@ def target_split(records: DataFrame, truth: DataFrame, split: DataFrame, seed: i
 
 
 def verify_split(records: DataFrame, truth: DataFrame, split: DataFrame, assigned: DataFrame, proportions: dict[str, float] = PROPORTIONS) -> DataFrame:
-    """check, n, examples: coverage, ownership, metadata, split names and stratification of a manifest."""
+    """check, n, examples: coverage, repeated rows, ownership both ways, metadata, split names and stratification of a manifest."""
     refs, held = references(records), targets(records)
     counts = truth.groupBy("reference_id").agg(F.count("*").alias("true_count"))
     owned = assigned.join(split.select("reference_id", F.col("split").alias("of")), "reference_id", "left")
@@ -144,6 +144,9 @@ def verify_split(records: DataFrame, truth: DataFrame, split: DataFrame, assigne
             "extra_references": split.join(refs.select(F.col("entity_id").alias("reference_id")), "reference_id", "left_anti").select(F.col("reference_id").alias("id")),
             "target_coverage": held.select(F.col("entity_id").alias("target_id")).join(assigned, "target_id", "left_anti").select(F.col("target_id").alias("id")),
             "extra_targets": assigned.join(held.select(F.col("entity_id").alias("target_id")), "target_id", "left_anti").select(F.col("target_id").alias("id")),
+            "repeated_assignments": duplicate_ids(assigned, "target_id").select(F.col("target_id").alias("id")),
+            "repeated_references": duplicate_ids(split, "reference_id").select(F.col("reference_id").alias("id")),
+            "owner_without_truth": assigned.where("reference_id IS NOT NULL").join(truth, ["target_id", "reference_id"], "left_anti").select(F.col("target_id").alias("id")),
             "target_ownership": owned.where("reference_id IS NOT NULL AND (of IS NULL OR of <> split)").select(F.col("target_id").alias("id")),
             "truth_owner": truth.join(assigned.select("target_id", F.col("reference_id").alias("of")), "target_id").where("of IS NULL OR of <> reference_id").select(F.col("target_id").alias("id")),
             "reference_metadata": meta.where("match_count <> coalesce(true_count, 0) OR country <> said").select(F.col("reference_id").alias("id")),
@@ -154,9 +157,36 @@ def verify_split(records: DataFrame, truth: DataFrame, split: DataFrame, assigne
 
 
 def batches(records: DataFrame, size: int) -> DataFrame:
-    """entity_id, country, batch: references of a country numbered in id order, `size` a batch."""
-    rank = F.row_number().over(Window.partitionBy("country").orderBy("entity_id"))
-    return references(records).select("entity_id", "country", F.floor((rank - 1) / size).alias("batch"))
+    """entity_id, country, batch: references of a country numbered in id order, `size` a batch.
+
+    Ranks are found in two steps, over ranges of ids that differ in the last three characters at most, so a country is
+    never sorted in one task.
+    """
+    rows = references(records).select("entity_id", "country").withColumn("range", F.expr("substring(entity_id, 1, greatest(length(entity_id) - 3, 1))"))
+    counts = rows.groupBy("country", "range").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("country").orderBy("range")) - F.col("n")).drop("n")
+    rank = F.row_number().over(Window.partitionBy("country", "range").orderBy("entity_id"))
+    ranked = rows.withColumn("rank", rank).join(counts, ["country", "range"])
+    return ranked.select("entity_id", "country", F.floor((F.col("before") + F.col("rank") - 1) / size).alias("batch"))
+
+
+def import_split(records: DataFrame, truth: DataFrame, references_: DataFrame, distractors_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reference and target split of earlier assignments (reference_id, split and target_id, split), kept as they are.
+
+    Matched targets follow their owner. The result goes through verify_split(); any finding but uneven strata raises a
+    ValueError, so an assignment that is missing, repeated or under an unknown name is never filled in.
+    """
+    counts = truth.groupBy("reference_id").agg(F.count("*").alias("match_count"))
+    refs = references(records).select(F.col("entity_id").alias("reference_id"), "country").join(counts, "reference_id", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
+    split = references_.select("reference_id", "split").join(refs, "reference_id", "left").withColumn("bucket", match_bucket(F.col("match_count")))
+    split = split.select("reference_id", "country", "match_count", "bucket", "split")
+    owner = truth.join(split.select("reference_id", "split"), "reference_id").groupBy("target_id").agg(F.min("reference_id").alias("reference_id"), F.min_by("split", "reference_id").alias("owned"))
+    held = targets(records).select(F.col("entity_id").alias("target_id"), "source").join(owner, "target_id", "left").join(distractors_.select("target_id", F.col("split").alias("drawn")), "target_id", "left")
+    assigned = held.select("target_id", F.coalesce("owned", "drawn").alias("split"), "reference_id", "source").where("split IS NOT NULL")
+    found = verify_split(records, truth, split, assigned).where("n > 0 AND check NOT IN ('stratification', 'truth_owner')").collect()
+    if found:
+        raise ValueError("; ".join(f"{r.check}: {r.examples}" for r in found))
+    return split, assigned
 
 
 def seeded_sample(rows: DataFrame, key: str, size: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:

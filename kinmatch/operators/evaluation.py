@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.text import oracle_score, score
+from kinmatch.operators.audit import checks
 from kinmatch.sources.records import references
 
 PAIR = ["reference_id", "target_id"]
@@ -148,13 +151,71 @@ def fingerprint(lists: DataFrame) -> DataFrame:
     return lists.agg(F.count("*").alias("n"), F.expr("bit_xor(cast(conv(substring(sha2(concat(reference_id, '|', concat_ws(',', ids)), 256), 1, 15), 16, 10) as bigint))").alias("digest"))
 
 
-def ordered_fingerprint(rows: DataFrame, *columns: str, buckets: int = 1024) -> DataFrame:
-    """SHA-256 over SHA-256 digests of hash buckets of sorted lines: depends on the set of rows alone, and scales."""
-    line = F.concat_ws("\t", *columns)
-    parts = rows.select(F.sha2(line, 256).alias("h")).groupBy(F.conv(F.substring("h", 1, 3), 16, 10).cast("int").alias("bucket") % buckets).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("h"))
+def ordered_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
+    """One SHA-256 that depends on the set of rows alone: a tree of digests of sorted digests.
+
+    Lines are grouped by the first six hex digits of their digest, the groups by the first three, so 10^12 rows make
+    lists of some 60,000 digests, and a list is one of at most 4,096 above.
+    """
+    digest = lambda: F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("h")
+    parts = rows.select(F.sha2(F.concat_ws("\t", *columns), 256).alias("h")).groupBy(F.substring("h", 1, 6).alias("part")).agg(digest())
+    parts = parts.groupBy(F.substring("part", 1, 3).alias("part")).agg(digest())
     return parts.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("sha256"))
 
 
+def uncovered(records: DataFrame, truth_lists: DataFrame, predictions: DataFrame) -> DataFrame:
+    """check, n, examples: references without a row in truth or predictions (reference_id, ids), rows of no reference, repeated rows."""
+    refs = references(records).select(F.col("entity_id").alias("reference_id"))
+    who = F.col("reference_id").alias("id")
+    out = {}
+    for name, rows in (("truth", truth_lists), ("prediction", predictions)):
+        out[f"{name}_missing"] = refs.join(rows, "reference_id", "left_anti").select(who)
+        out[f"{name}_extra"] = rows.join(refs, "reference_id", "left_anti").select(who)
+        out[f"{name}_repeated"] = rows.groupBy("reference_id").agg(F.count("*").alias("n")).where("n > 1").select(who)
+    return checks(out)
+
+
+def macro_of_lists(records: DataFrame, truth_lists: DataFrame, predictions: DataFrame) -> DataFrame:
+    """summary() of two tables of lists that must cover the references exactly; a ValueError says what does not."""
+    found = uncovered(records, truth_lists, predictions).where("n > 0").collect()
+    if found:
+        raise ValueError("; ".join(f"{r.check}: {r.examples}" for r in found))
+    links = lambda x: x.select("reference_id", F.explode(F.array_distinct("ids")).alias("target_id"))
+    return summary(by_reference(records, links(truth_lists), links(predictions)))
+
+
+def pooled_at(truth: DataFrame, scored: DataFrame, thresholds: Sequence[float], column: str = "p") -> DataFrame:
+    """threshold, tp, fp, fn, pooled_f05 over all pairs, for each threshold; true links that are no candidates are misses."""
+    links = truth.agg(F.count("*").alias("links"))  # one row
+    marked = scored.join(truth.select(*PAIR, F.lit(1).alias("hit")), PAIR, "left")
+    of = lambda t: F.struct(F.lit(float(t)).alias("threshold"), F.count_if((F.col(column) >= t) & F.col("hit").isNotNull()).alias("tp"), F.count_if((F.col(column) >= t) & F.col("hit").isNull()).alias("fp"))
+    cells = marked.agg(F.array(*map(of, sorted(set(thresholds)))).alias("cells")).select(F.explode("cells").alias("c")).select("c.*").join(F.broadcast(links))
+    cells = cells.withColumn("fn", F.col("links") - F.col("tp"))
+    return cells.select("threshold", "tp", "fp", "fn", F.round(pooled_f05(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("pooled_f05"))
+
+
+#: The error categories, over the features of a pair.
+ERROR_CATEGORIES = {"missing_address": "address_missing = 1", "numeric_disagreement": "address_numbers_both = 1 AND address_numbers_equal = 0"}
+
+
+def mined_errors(records: DataFrame, truth: DataFrame, scored: DataFrame, threshold: float, column: str = "p", limit: int | None = 5) -> DataFrame:
+    """Errors of a thresholded model among the candidates, by category, with probability, both texts and the features.
+
+    scored: pairs with a probability and the features that ERROR_CATEGORIES name; kind is FP or FN; an error of two
+    categories gives two rows; of each category and kind the first `limit` pairs in id order are kept (None: all).
+    """
+    marked = scored.join(truth.select(*PAIR, F.lit(1).alias("hit")), PAIR, "left")
+    kind = F.when((F.col(column) >= threshold) & F.col("hit").isNull(), "FP").when((F.col(column) < threshold) & F.col("hit").isNotNull(), "FN")
+    wrong = marked.withColumn("kind", kind).where("kind IS NOT NULL").drop("hit")
+    category = F.explode(F.filter(F.array(*(F.when(F.expr(rule), name) for name, rule in ERROR_CATEGORIES.items())), lambda x: x.isNotNull()))
+    rows = wrong.withColumn("category", category)
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("category", "kind").orderBy(*PAIR))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+    texts = error_examples(records, rows.select(*PAIR).distinct(), limit=None).drop("country")
+    return rows.join(texts, PAIR)
+
+
 def lists_of(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """Every reference with its sorted ids, empty lists included."""
     ids = pairs.groupBy("reference_id").agg(F.sort_array(F.collect_set("target_id")).alias("ids"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.text import score
+from kinmatch.operators.evaluation import by_reference, summary
 from kinmatch.sources.records import references
 
 PAIR = ["reference_id", "target_id"]
@@ -96,6 +97,20 @@ def tune(records: DataFrame, truth: DataFrame, scored: DataFrame, variant: str =
     return best.threshold, best.macro_f05
 
 
+def confirmed(tuning: tuple[DataFrame, DataFrame, DataFrame], confirmation: tuple[DataFrame, DataFrame, DataFrame], columns: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """model, threshold, macro_f05, oracle_macro_f05, tp, fp, fn: each model's threshold is chosen on the tuning part, locked, and
+    then judged once on the confirmation part, all models on the same candidates. A part is (records, truth, scored)."""
+    out = None
+    for column in columns:
+        locked = pick(sweep(*tuning, thresholds, column)).first().threshold  # one row
+        records, truth, scored = confirmation
+        made = summary(by_reference(records, truth, thresholded(scored, locked, column)))
+        oracle = summary(by_reference(records, truth, scored.select(*PAIR))).select(F.col("candidate_oracle_macro_f05").alias("oracle_macro_f05"))
+        one = made.join(F.broadcast(oracle)).select(F.lit(column).alias("model"), F.lit(float(locked)).alias("threshold"), "macro_f05", "oracle_macro_f05", "tp", "fp", "fn")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def blend_grid(records: DataFrame, truth: DataFrame, scored: DataFrame, weights: Sequence[float], thresholds: Sequence[float]) -> DataFrame:
     """weight, threshold, macro_f05, and worst: the least gain of any country over model b at FINAL_B."""
     base = sweep(records, truth, scored, [FINAL_B], "pb", ["country"]).select("country", F.col("macro_f05").alias("base"))

@@ -55,10 +55,14 @@ def document_frequency(records: DataFrame) -> DataFrame:
     return df.join(n, "country")
 
 
+def weights_of(frequencies: DataFrame, config: RetrievalConfig) -> DataFrame:
+    cap = F.least(F.lit(config.max_df).cast("double"), F.col("n") * F.lit(config.max_df_ratio))
+    return frequencies.where(F.col("df") <= cap).select("country", "field", "token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+
+
 def idf(records: DataFrame, config: RetrievalConfig) -> DataFrame:
     """country, field, token, df, idf = ln(n / df) of the tokens within the frequency cap."""
-    cap = F.least(F.lit(config.max_df).cast("double"), F.col("n") * F.lit(config.max_df_ratio))
-    return document_frequency(records).where(F.col("df") <= cap).select("country", "field", "token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    return weights_of(document_frequency(records), config)
 
 
 def query_tokens(records: DataFrame, weights: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -68,10 +72,18 @@ def query_tokens(records: DataFrame, weights: DataFrame, config: RetrievalConfig
     return asked.join(weights, ["country", "field", "token"]).withColumn("rank", rank).where(F.col("rank") <= config.top_tokens)
 
 
-def token_scores(records: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """reference_id, field, target_id, score: the idf that both sides share, rounded so that ties are ties everywhere."""
-    asked = query_tokens(records, idf(records, config), config).select("reference_id", "country", "field", "token", "idf")
-    postings = record_tokens(targets(records)).select("country", "field", "token", F.col("entity_id").alias("target_id"))
+def index(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What retrieval needs of the target side, for runs that ask it more than once: frequencies and postings."""
+    return document_frequency(records), record_tokens(targets(records)).select("country", "field", "token", F.col("entity_id").alias("target_id"))
+
+
+def token_scores(records: DataFrame, config: RetrievalConfig, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """reference_id, field, target_id, score: the idf that both sides share, rounded so that ties are ties everywhere.
+
+    held: the target side's index(), if it is there already.
+    """
+    frequencies, postings = held or index(records)
+    asked = query_tokens(records, weights_of(frequencies, config), config).select("reference_id", "country", "field", "token", "idf")
     met = asked.join(postings, ["country", "field", "token"])
     return met.groupBy("reference_id", "field", "target_id").agg(F.round(F.sum("idf"), 9).alias("score"))
 
@@ -100,9 +112,9 @@ def exact_capped(records: DataFrame, scores: DataFrame, field: str, cap: int) ->
     return top_candidates(ranked.withColumn("score", F.coalesce("score", F.lit(0.0))), cap).select("reference_id", "target_id")
 
 
-def candidates(records: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """reference_id, target_id of all routes of the configuration, each pair once."""
-    scores = token_scores(records, config)
+def candidates(records: DataFrame, config: RetrievalConfig, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """reference_id, target_id of all routes of the configuration, each pair once; held: see token_scores()."""
+    scores = token_scores(records, config, held)
     if config.joint:
         ranked = top_candidates(scores.groupBy("reference_id", "target_id").agg(F.round(F.sum("score"), 9).alias("score")), config.top_candidates)
     else:
@@ -113,7 +125,7 @@ def candidates(records: DataFrame, config: RetrievalConfig) -> DataFrame:
             routes.append(exact_capped(records, scores, field, config.exact_cap))
     if config.union_baseline:
         base = CONFIGS["legacy"]
-        routes.append(top_candidates(token_scores(records, base), base.top_candidates, "field").select("reference_id", "target_id"))
+        routes.append(top_candidates(token_scores(records, base, held), base.top_candidates, "field").select("reference_id", "target_id"))
     out = routes[0]
     for r in routes[1:]:
         out = out.unionByName(r)

@@ -55,21 +55,28 @@ SUMMARY = (
 
 _cte("tok", f"SELECT entity_id, source, country, field, unnest(t) AS token FROM (SELECT entity_id, source, country, 'name' AS field, {_TOKENS.format('name_raw')} AS t FROM records UNION ALL SELECT entity_id, source, country, 'address', {_TOKENS.format('address_raw')} FROM records)", "records")
 _cte("frequency", "SELECT k.country, field, token, count(*) AS df, any_value(n) AS n FROM tok k JOIN (SELECT country, count(*) AS n FROM records WHERE source IN (2, 3) GROUP BY 1) c ON c.country = k.country WHERE source IN (2, 3) GROUP BY 1, 2, 3", "tok", "records")
-_cte("idf5000", "SELECT country, field, token, df, ln(n / df::DOUBLE) AS idf FROM frequency WHERE df <= least(5000, n * 0.05::DOUBLE)", "frequency")
-_cte("asked5000", "SELECT * FROM (SELECT k.entity_id AS reference_id, k.country, k.field, k.token, i.idf, row_number() OVER (PARTITION BY k.entity_id, k.field ORDER BY i.df, k.token) AS rank FROM tok k JOIN idf5000 i ON i.country = k.country AND i.field = k.field AND i.token = k.token WHERE k.source = 1) WHERE rank <= 5", "tok", "idf5000")
-_cte("scores5000", "SELECT a.reference_id, a.field, k.entity_id AS target_id, round(sum(a.idf), 9) AS score FROM asked5000 a JOIN tok k ON k.country = a.country AND k.field = a.field AND k.token = a.token WHERE k.source IN (2, 3) GROUP BY 1, 2, 3", "asked5000", "tok")
-_cte("ranked5000", "SELECT *, row_number() OVER (PARTITION BY reference_id, field ORDER BY score DESC, target_id) AS rank FROM scores5000", "scores5000")
-_cte("joint5000", "SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY score DESC, target_id) AS rank FROM (SELECT reference_id, target_id, round(sum(score), 9) AS score FROM scores5000 GROUP BY 1, 2)", "scores5000")
+for _cap in (5, 5000, 20000):
+    _cte(f"idf{_cap}", f"SELECT country, field, token, df, ln(n / df::DOUBLE) AS idf FROM frequency WHERE df <= least({_cap}, n * 0.05::DOUBLE)", "frequency")
+    _cte(
+        f"asked{_cap}",
+        f"SELECT * FROM (SELECT k.entity_id AS reference_id, k.country, k.field, k.token, i.idf, row_number() OVER (PARTITION BY k.entity_id, k.field ORDER BY i.df, k.token) AS rank FROM tok k JOIN idf{_cap} i ON i.country = k.country AND i.field = k.field AND i.token = k.token WHERE k.source = 1) WHERE rank <= 5",
+        "tok",
+        f"idf{_cap}",
+    )
+    _cte(f"scores{_cap}", f"SELECT a.reference_id, a.field, k.entity_id AS target_id, round(sum(a.idf), 9) AS score FROM asked{_cap} a JOIN tok k ON k.country = a.country AND k.field = a.field AND k.token = a.token WHERE k.source IN (2, 3) GROUP BY 1, 2, 3", f"asked{_cap}", "tok")
+    _cte(f"ranked{_cap}", f"SELECT *, row_number() OVER (PARTITION BY reference_id, field ORDER BY score DESC, target_id) AS rank FROM scores{_cap}", f"scores{_cap}")
+    _cte(f"joint{_cap}", f"SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY score DESC, target_id) AS rank FROM (SELECT reference_id, target_id, round(sum(score), 9) AS score FROM scores{_cap} GROUP BY 1, 2)", f"scores{_cap}")
 _cte("exact_both", "SELECT r.entity_id AS reference_id, t.entity_id AS target_id FROM records r JOIN records t ON r.country = t.country AND r.name_norm = t.name_norm AND r.address_norm = t.address_norm WHERE r.source = 1 AND t.source IN (2, 3) AND r.name_norm <> '' AND r.address_norm <> ''", "records")
 _cte("candidates_legacy", "SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50 UNION SELECT reference_id, target_id FROM exact_both", "ranked5000", "exact_both")
 for _field, _other in (("name", "address"), ("address", "name")):
-    _cte(
-        f"capped_{_field}",
-        f"SELECT reference_id, target_id FROM (SELECT b.*, row_number() OVER (PARTITION BY b.reference_id ORDER BY coalesce(s.score, 0) DESC, b.target_id) AS rank FROM (SELECT r.entity_id AS reference_id, t.entity_id AS target_id FROM records r JOIN records t "
-        f"ON r.country = t.country AND r.{_field}_norm = t.{_field}_norm WHERE r.source = 1 AND t.source IN (2, 3) AND r.{_field}_norm <> '') b LEFT JOIN scores5000 s ON s.reference_id = b.reference_id AND s.target_id = b.target_id AND s.field = '{_other}') WHERE rank <= 10",
-        "records",
-        "scores5000",
-    )
+    for _df, _cap in ((5000, 10), (5000, 50), (20000, 50)):
+        _cte(
+            f"capped_{_field}_{_df}_{_cap}",
+            f"SELECT reference_id, target_id FROM (SELECT b.*, row_number() OVER (PARTITION BY b.reference_id ORDER BY coalesce(s.score, 0) DESC, b.target_id) AS rank FROM (SELECT r.entity_id AS reference_id, t.entity_id AS target_id FROM records r JOIN records t "
+            f"ON r.country = t.country AND r.{_field}_norm = t.{_field}_norm WHERE r.source = 1 AND t.source IN (2, 3) AND r.{_field}_norm <> '') b LEFT JOIN scores{_df} s ON s.reference_id = b.reference_id AND s.target_id = b.target_id AND s.field = '{_other}') WHERE rank <= {_cap}",
+            "records",
+            f"scores{_df}",
+        )
 _cte("matching", "SELECT entity_id AS reference_id, coalesce(string_agg(target_id, ',' ORDER BY target_id), '') AS ids FROM records LEFT JOIN normalized_exact ON reference_id = entity_id WHERE source = 1 GROUP BY 1", "records", "normalized_exact")
 
 _cte(
@@ -130,6 +137,107 @@ _cte(
 )
 
 
+#: Truth lists with faults: one reference twice, one list with an id twice, one unknown reference with an unknown target,
+#: and no list for the largest reference. A known target has two owners besides.
+_cte("ends", "SELECT min(entity_id) FILTER (source = 1) AS low, max(entity_id) FILTER (source = 1) AS high, min(entity_id) FILTER (source = 2) AS target FROM records", "records")
+_cte("clean_lists", "SELECT entity_id AS reference_id, coalesce(list_sort(list(target_id) FILTER (target_id IS NOT NULL)), []) AS ids FROM records LEFT JOIN truth ON reference_id = entity_id WHERE source = 1 GROUP BY 1", "records", "truth")
+_cte(
+    "faulty_lists",
+    "SELECT reference_id, ids FROM clean_lists, ends WHERE reference_id <> high UNION ALL SELECT low, [target, target] FROM ends UNION ALL SELECT 'S1-none', ['S3-none', 'X-1', target] FROM ends",
+    "clean_lists",
+    "ends",
+)
+_cte("faulty_links", "SELECT DISTINCT reference_id, unnest(ids) AS target_id FROM faulty_lists", "faulty_lists")
+_cte("faulty_records", "SELECT entity_id, source FROM records UNION ALL SELECT target, 2 FROM ends", "records", "ends")
+
+
+def findings(**offenders: str) -> str:
+    """check, n and up to five examples (the smallest ids) of each rule; offenders: a query with a column id."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", (SELECT count(*) FROM ({sql})) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT DISTINCT id FROM ({sql}) ORDER BY id LIMIT 5)), '') AS examples" for name, sql in offenders.items()
+    )
+
+
+RELATIONSHIPS = findings(
+    duplicate_truth_references="SELECT reference_id AS id FROM faulty_lists GROUP BY 1 HAVING count(*) > 1",
+    duplicate_source_ids="SELECT entity_id AS id FROM faulty_records GROUP BY 1 HAVING count(*) > 1",
+    multi_owner_targets="SELECT target_id AS id FROM faulty_links GROUP BY 1 HAVING count(*) > 1",
+    truth_references_missing="SELECT DISTINCT reference_id AS id FROM faulty_lists WHERE reference_id NOT IN (SELECT entity_id FROM records WHERE source = 1)",
+    references_without_truth="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM faulty_lists)",
+    truth_targets_missing="SELECT DISTINCT target_id AS id FROM faulty_links WHERE target_id NOT IN (SELECT entity_id FROM records WHERE source IN (2, 3))",
+    lists_with_duplicates="SELECT reference_id AS id FROM faulty_lists WHERE len(ids) <> len(list_distinct(ids))",
+)
+
+#: Lines of a matching file with every fault, and of a candidate file: the legacy candidates less those of the smallest
+#: reference, whose line has no tab.
+_cte(
+    "match_lines",
+    "SELECT reference_id, ids FROM clean_lists, ends WHERE reference_id <> high UNION ALL SELECT low, ['X-1', 'S1-00000001', 'S2-none', 'S2-none'] FROM ends UNION ALL SELECT 'S1-none', []",
+    "clean_lists",
+    "ends",
+)
+_cte("candidate_lists", "SELECT entity_id AS reference_id, coalesce(list_sort(list(c.target_id) FILTER (c.target_id IS NOT NULL)), []) AS ids FROM records LEFT JOIN candidates_legacy c ON c.reference_id = entity_id WHERE source = 1 GROUP BY 1", "records", "candidates_legacy")
+_cte("candidate_lines", "SELECT reference_id, ids FROM candidate_lists, ends WHERE reference_id <> low", "candidate_lists", "ends")
+
+
+def _line_findings(name: str, lines: str, no_tab: str) -> dict[str, str]:
+    ids = f"SELECT unnest(ids) AS id FROM {lines}"
+    return {
+        f"{name}_row_without_tab": no_tab,
+        f"{name}_duplicate_rows": f"SELECT reference_id AS id FROM {lines} GROUP BY 1 HAVING count(*) > 1",
+        f"{name}_duplicate_ids": f"SELECT reference_id AS id FROM {lines} WHERE len(ids) <> len(list_distinct(ids))",
+        f"{name}_self_match": f"SELECT id FROM ({ids}) WHERE id LIKE 'S1-%'",
+        f"{name}_wrong_prefix": f"SELECT id FROM ({ids}) WHERE NOT regexp_matches(id, '^S[123]-')",
+        f"{name}_missing_references": f"SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM {lines})",
+        f"{name}_extra_references": f"SELECT reference_id AS id FROM {lines} WHERE reference_id NOT IN (SELECT entity_id FROM records WHERE source = 1)",
+        f"{name}_unknown_ids": f"SELECT id FROM ({ids}) WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM records WHERE source IN (2, 3))",
+    }
+
+
+_OUTSIDE = "SELECT m.reference_id AS id FROM {} m LEFT JOIN {} c USING (reference_id) WHERE len(list_filter(m.ids, lambda x: NOT list_contains(coalesce(c.ids, []), x))) > 0"
+SUBMISSION = findings(
+    **_line_findings("matching", "match_lines", "SELECT 'no tab here' AS id"),
+    **_line_findings("candidate", "candidate_lines", "SELECT low AS id FROM ends"),
+    match_not_in_candidates=_OUTSIDE.format("match_lines", "candidate_lines"),
+    unknown_ids_not_checked="SELECT NULL::VARCHAR AS id WHERE false",
+    candidate_file_absent="SELECT NULL::VARCHAR AS id WHERE false",
+)
+COVERAGE = findings(
+    matches_missing="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM faulty_lists) UNION ALL SELECT reference_id FROM candidate_lines WHERE reference_id NOT IN (SELECT reference_id FROM faulty_lists) AND reference_id NOT IN (SELECT entity_id FROM records WHERE source = 1)",
+    candidates_missing="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM candidate_lines) UNION ALL SELECT 'S1-none'",
+    not_expected="SELECT 'S1-none' AS id",
+    duplicate_match_rows="SELECT reference_id AS id FROM faulty_lists GROUP BY 1 HAVING count(*) > 1",
+    duplicate_candidate_rows="SELECT reference_id AS id FROM candidate_lines GROUP BY 1 HAVING count(*) > 1",
+    match_not_in_candidates=_OUTSIDE.format("faulty_lists", "candidate_lines"),
+)
+
+#: Labelled pairs with faults: the first pair's label is 2, the last comes twice, a true pair is labelled 0.
+_cte("pair_ends", "SELECT min(reference_id || '|' || target_id) AS low, max(reference_id || '|' || target_id) AS high FROM candidates_legacy", "candidates_legacy")
+_cte("true_pairs", "SELECT c.reference_id || '|' || c.target_id AS id FROM candidates_legacy c JOIN truth t USING (reference_id, target_id)", "candidates_legacy", "truth")
+PACKET = findings(
+    label_not_binary="SELECT low AS id FROM pair_ends",
+    feature_not_finite="SELECT high AS id FROM pair_ends UNION ALL SELECT high FROM pair_ends",
+    label_is_not_membership="SELECT low AS id FROM pair_ends UNION ALL SELECT min(id) FROM true_pairs, pair_ends WHERE id > low",
+    repeated_pairs="SELECT high AS id FROM pair_ends",
+)
+_cte("faulty_split", "SELECT reference_id, country, match_count + (reference_id = low)::INT AS match_count, bucket, split FROM split, ends WHERE reference_id <> high UNION ALL SELECT 'S1-none', 'es', 0, '0', 'train'", "split", "ends")
+_cte("faulty_targets", "SELECT target_id, split, reference_id FROM target_split UNION ALL SELECT target_id, split, reference_id FROM target_split, ends WHERE target_id = target UNION ALL SELECT 'S3-none', 'unknown', 'S1-none'", "target_split", "ends")
+SPLIT = findings(
+    reference_coverage="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM faulty_split)",
+    extra_references="SELECT reference_id AS id FROM faulty_split WHERE reference_id NOT IN (SELECT entity_id FROM records WHERE source = 1)",
+    target_coverage="SELECT entity_id AS id FROM records WHERE source IN (2, 3) AND entity_id NOT IN (SELECT target_id FROM faulty_targets)",
+    extra_targets="SELECT target_id AS id FROM faulty_targets WHERE target_id NOT IN (SELECT entity_id FROM records WHERE source IN (2, 3))",
+    repeated_assignments="SELECT target_id AS id FROM faulty_targets GROUP BY 1 HAVING count(*) > 1",
+    repeated_references="SELECT reference_id AS id FROM faulty_split GROUP BY 1 HAVING count(*) > 1",
+    target_ownership="SELECT t.target_id AS id FROM faulty_targets t LEFT JOIN faulty_split s ON s.reference_id = t.reference_id WHERE t.reference_id IS NOT NULL AND (s.split IS NULL OR s.split <> t.split)",
+    owner_without_truth="SELECT target_id AS id FROM faulty_targets f WHERE reference_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.target_id = f.target_id AND t.reference_id = f.reference_id)",
+    truth_owner="SELECT t.target_id AS id FROM truth t JOIN (SELECT target_id, reference_id AS owner FROM faulty_targets) a USING (target_id) WHERE owner IS NULL OR owner <> t.reference_id",
+    reference_metadata="SELECT s.reference_id AS id FROM faulty_split s JOIN records r ON r.entity_id = s.reference_id AND r.source = 1 LEFT JOIN (SELECT reference_id, count(*) AS n FROM truth GROUP BY 1) t ON t.reference_id = s.reference_id WHERE match_count <> coalesce(n, 0) OR s.country <> r.country",
+    unknown_split="SELECT id FROM (SELECT reference_id AS id, split FROM faulty_split UNION ALL SELECT target_id, split FROM faulty_targets) WHERE split NOT IN ('train', 'dev', 'holdout')",
+    stratification="SELECT country || '/' || bucket AS id FROM faulty_split GROUP BY country, bucket HAVING abs(count_if(split = 'train') - count(*) * 0.7::DOUBLE) > greatest(2, 0.02::DOUBLE * count(*)) OR abs(count_if(split = 'dev') - count(*) * 0.15::DOUBLE) > greatest(2, 0.02::DOUBLE * count(*)) OR abs(count_if(split = 'holdout') - count(*) * 0.15::DOUBLE) > greatest(2, 0.02::DOUBLE * count(*))",
+)
+
+
 def quality(k: int) -> str:
     return (
         f"WITH c AS (SELECT reference_id, target_id FROM ranked5000 WHERE rank <= {k} UNION SELECT reference_id, target_id FROM exact_both), "
@@ -175,12 +283,6 @@ def country_grid(grid: Sequence[float]) -> str:
     return f"SELECT country, model, threshold, macro_f05 FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY macro_f05 DESC, model, threshold) AS k FROM ({cells})) WHERE k = 1"
 
 
-SUBMISSION = (
-    "SELECT name AS \"check\", n, examples FROM (VALUES ('matching_row_without_tab', 0, ''), ('matching_duplicate_rows', 0, ''), ('matching_duplicate_ids', 0, ''), ('matching_self_match', 0, ''), ('matching_wrong_prefix', 0, ''), ('matching_extra_references', 0, ''), ('matching_unknown_ids', 0, ''), ('unknown_ids_not_checked', 0, ''), ('candidate_file_absent', 1, '-')) v(name, n, examples) "
-    "UNION ALL SELECT 'matching_missing_references', count(*), string_agg(entity_id, ',' ORDER BY entity_id) FILTER (k <= 5) FROM (SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS k FROM records WHERE source = 1 AND substr(entity_id, 4)::INT % 2 = 1)"
-)
-
-
 def _long_counts(sql: str) -> str:
     """count_if() is a HUGEINT in DuckDB; Spark's is a long."""
     at = 0

@@ -18,7 +18,7 @@ from kinmatch.operators import audit, evaluation, exact, model, pairs, policy, r
 from kinmatch.operators.retrieval import CONFIGS
 from kinmatch.plans import oracle
 from kinmatch.sources import records as rec
-from kinmatch.sources import sinks
+from kinmatch.sources import files, sinks
 from kinmatch.streaming import matcher
 
 PAIR = ["reference_id", "target_id"]
@@ -131,22 +131,40 @@ def match_histogram(spark, sf_dir):
     return audit.match_histogram(_truth_lists(spark, sf_dir))
 
 
+def _ends(spark, sf_dir) -> DataFrame:
+    """One row: smallest and largest reference, and the smallest target of source 2; faults are made at them."""
+    of = lambda f, n: f(F.when(F.col("source") == n, F.col("entity_id")))
+    return _records(spark, sf_dir).agg(of(F.min, 1).alias("low"), of(F.max, 1).alias("high"), of(F.min, 2).alias("target"))
+
+
+def _less(rows: DataFrame, ends: DataFrame, end: str, column: str = "reference_id") -> DataFrame:
+    return rows.join(F.broadcast(ends.select(F.col(end).alias(column))), column, "left_anti")
+
+
+def _faulty_lists(spark, sf_dir) -> DataFrame:
+    """Truth lists with faults: see the SQL."""
+    ends = _ends(spark, sf_dir)
+    made = ends.select(F.col("low").alias("reference_id"), F.array("target", "target").alias("ids")).unionByName(ends.select(F.lit("S1-none").alias("reference_id"), F.array(F.lit("S3-none"), F.lit("X-1"), F.col("target")).alias("ids")))
+    return _less(_truth_lists(spark, sf_dir), ends, "high").select("reference_id", "ids").unionByName(made)
+
+
+def _faulty_records(spark, sf_dir) -> DataFrame:
+    return _records(spark, sf_dir).select("entity_id", "source").unionByName(_ends(spark, sf_dir).select(F.col("target").alias("entity_id"), F.lit(2).alias("source")))
+
+
 @query(
-    "SELECT count(*) AS n_references, sum(n)::BIGINT AS links, count_if(n = 0) AS singletons, 0 AS lists_with_duplicates, 0 AS wrong_prefix, sum(s2)::BIGINT AS links_s2, sum(s3)::BIGINT AS links_s3, round(count_if(n = 0) / count(*), 9) AS empty_baseline "
-    "FROM (SELECT r.entity_id, count(t.target_id) AS n, count_if(t.target_id LIKE 'S2-%') AS s2, count_if(t.target_id LIKE 'S3-%') AS s3 FROM records r LEFT JOIN truth t ON t.reference_id = r.entity_id WHERE source = 1 GROUP BY 1)",
-    "truth",
+    "SELECT count(*) AS n_references, sum(len(ids))::BIGINT AS links, count_if(len(ids) = 0) AS singletons, count_if(len(ids) <> len(list_distinct(ids))) AS lists_with_duplicates, sum(len(list_filter(ids, lambda x: NOT (starts_with(x, 'S2-') OR starts_with(x, 'S3-')))))::BIGINT AS wrong_prefix, "
+    "sum(len(list_filter(ids, lambda x: starts_with(x, 'S2-'))))::BIGINT AS links_s2, sum(len(list_filter(ids, lambda x: starts_with(x, 'S3-'))))::BIGINT AS links_s3, round(count_if(len(ids) = 0) / count(*), 9) AS empty_baseline FROM faulty_lists",
+    "faulty_lists",
 )
 def truth_audit(spark, sf_dir):
-    return audit.truth_audit(_truth_lists(spark, sf_dir))
+    return audit.truth_audit(_faulty_lists(spark, sf_dir))
 
 
-@query(
-    "SELECT name AS \"check\", n, '' AS examples FROM (VALUES ('duplicate_truth_references', 0), ('duplicate_source_ids', 0), ('truth_references_missing', 0), ('references_without_truth', 0), ('truth_targets_missing', 0), ('lists_with_duplicates', 0)) v(name, n) "
-    "UNION ALL SELECT 'multi_owner_targets', count(*), coalesce(string_agg(target_id, ',' ORDER BY target_id) FILTER (k <= 5), '') FROM (SELECT target_id, row_number() OVER (ORDER BY target_id) AS k FROM truth GROUP BY target_id HAVING count(*) > 1)",
-    "truth",
-)
+@query(oracle.RELATIONSHIPS, "faulty_lists", "faulty_links", "faulty_records")
 def relationship_audit(spark, sf_dir):
-    return audit.relationship_audit(_records(spark, sf_dir), _truth_lists(spark, sf_dir))
+    """Every rule has something to find: the lists and records have faults."""
+    return audit.relationship_audit(_faulty_records(spark, sf_dir), _faulty_lists(spark, sf_dir))
 
 
 @query(
@@ -204,11 +222,18 @@ def target_split(spark, sf_dir):
     return audit.target_split(r, t, audit.reference_split(r, t))
 
 
-@query()
+@query(oracle.SPLIT, "faulty_split", "faulty_targets", "records", "truth")
 def verify_split(spark, sf_dir):
-    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    """A split with faults: a reference missing, one too many with a target of its own, a wrong count, a repeated target."""
+    r, t, ends = _records(spark, sf_dir), _truth(spark, sf_dir), _ends(spark, sf_dir)
     split = audit.reference_split(r, t)
-    return audit.verify_split(r, t, split, audit.target_split(r, t, split))
+    assigned = audit.target_split(r, t, split)
+    wrong = F.broadcast(ends.select(F.col("low").alias("reference_id"), F.lit(1).alias("more")))
+    counts = split.join(wrong, "reference_id", "left").withColumn("match_count", F.col("match_count") + F.coalesce("more", F.lit(0))).drop("more")
+    faulty = _less(counts, ends, "high").unionByName(ends.select(F.lit("S1-none").alias("reference_id"), F.lit("es").alias("country"), F.lit(0).cast("long").alias("match_count"), F.lit("0").alias("bucket"), F.lit("train").alias("split")))
+    twice = assigned.join(F.broadcast(ends.select(F.col("target").alias("target_id"))), "target_id", "left_semi")
+    owned = ends.select(F.lit("S3-none").alias("target_id"), F.lit("unknown").alias("split"), F.lit("S1-none").alias("reference_id"), F.lit(3).alias("source"))
+    return audit.verify_split(r, t, faulty, assigned.unionByName(twice).unionByName(owned))
 
 
 @query("SELECT entity_id, country FROM records WHERE source = 1 ORDER BY sha256('2027:' || entity_id), entity_id LIMIT 100", "records")
@@ -216,6 +241,13 @@ def seeded_sample(spark, sf_dir):
     return audit.seeded_sample(rec.references(_records(spark, sf_dir)).select("entity_id", "country"), "entity_id", 100, 2027)
 
 
+@query("SELECT entity_id, country FROM records WHERE source = 1 AND entity_id NOT IN (SELECT entity_id FROM records WHERE source = 1 ORDER BY sha256('2027:' || entity_id), entity_id LIMIT 100) ORDER BY sha256('2029:' || entity_id), entity_id LIMIT 50", "records")
+def seeded_sample_apart(spark, sf_dir):
+    """A second sample that shares no reference with the first."""
+    refs = rec.references(_records(spark, sf_dir)).select("entity_id", "country")
+    return audit.seeded_sample(refs, "entity_id", 50, 2029, exclude=seeded_sample(spark, sf_dir))
+
+
 @query("SELECT entity_id, country, ((row_number() OVER (PARTITION BY country ORDER BY entity_id) - 1) // 50)::BIGINT AS batch FROM records WHERE source = 1", "records")
 def reference_batches(spark, sf_dir):
     return audit.batches(_records(spark, sf_dir), 50)
@@ -346,54 +378,48 @@ def candidates_joint(spark, sf_dir):
     return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["legacy"], joint=True))
 
 
-#: At this scale only a small cap has buckets beyond it.
+#: A cap of exact routes that buckets of test tables exceed; the named configurations have 50.
 CAP = 10
 
 
-@query("SELECT reference_id, target_id FROM capped_name", "capped_name")
+@query("SELECT reference_id, target_id FROM capped_name_5000_10", "capped_name_5000_10")
 def candidates_exact_name_capped(spark, sf_dir):
     r = _records(spark, sf_dir)
     return retrieval.exact_capped(r, retrieval.token_scores(r, CONFIGS["legacy"]), "name", CAP)
 
 
-@query("SELECT reference_id, target_id FROM capped_address", "capped_address")
+@query("SELECT reference_id, target_id FROM capped_address_5000_10", "capped_address_5000_10")
 def candidates_exact_address_capped(spark, sf_dir):
     r = _records(spark, sf_dir)
     return retrieval.exact_capped(r, retrieval.token_scores(r, CONFIGS["legacy"]), "address", CAP)
 
 
-_CAPPED = "UNION SELECT reference_id, target_id FROM exact_both UNION SELECT reference_id, target_id FROM capped_name UNION SELECT reference_id, target_id FROM capped_address"
-
-
-@query(f"SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50 {_CAPPED}", "ranked5000", "exact_both", "capped_name", "capped_address")
-def candidates_exact_buckets(spark, sf_dir):
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["exact_buckets"], exact_cap=CAP))
-
-
-@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
-def candidates_joint_scoring(spark, sf_dir):
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["joint_scoring"], exact_cap=CAP))
-
-
-@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
-def candidates_df20k(spark, sf_dir):
-    """No country of the test tables has so many targets that the two caps differ."""
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["df20k"], exact_cap=CAP))
+def _config_query(name: str, df: int, k: int, joint: bool = True, base: bool = False):
+    """A named configuration as it stands."""
 
+    def build(spark, sf_dir):
+        return retrieval.candidates(_records(spark, sf_dir), CONFIGS[name])
 
-@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
-def candidates_k100(spark, sf_dir):
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["k100"], exact_cap=CAP))
+    build.__name__ = f"candidates_{name}"
+    ctes = [f"{'joint' if joint else 'ranked'}{df}", "exact_both", f"capped_name_{df}_50", f"capped_address_{df}_50", *(["ranked5000"] if base else [])]
+    sql = f"SELECT reference_id, target_id FROM {ctes[0]} WHERE rank <= {k} " + " ".join(f"UNION SELECT reference_id, target_id FROM {c}" for c in ctes[1:4])
+    if base:
+        sql += " UNION SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50"
+    return query(sql, *ctes)(build)
 
 
-@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 {_CAPPED}", "joint5000", "exact_both", "capped_name", "capped_address")
-def candidates_df20k_k100(spark, sf_dir):
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["df20k_k100"], exact_cap=CAP))
+candidates_exact_buckets = _config_query("exact_buckets", 5000, 50, joint=False)
+candidates_joint_scoring = _config_query("joint_scoring", 5000, 50)
+candidates_df20k = _config_query("df20k", 20000, 50)
+candidates_k100 = _config_query("k100", 5000, 100)
+candidates_df20k_k100 = _config_query("df20k_k100", 20000, 100)
+candidates_union_baseline = _config_query("union_baseline", 20000, 100, base=True)
 
 
-@query(f"SELECT reference_id, target_id FROM joint5000 WHERE rank <= 100 UNION SELECT reference_id, target_id FROM ranked5000 WHERE rank <= 50 {_CAPPED}", "joint5000", "ranked5000", "exact_both", "capped_name", "capped_address")
-def candidates_union_baseline(spark, sf_dir):
-    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["union_baseline"], exact_cap=CAP))
+@query("SELECT reference_id, target_id FROM joint5 WHERE rank <= 50 UNION SELECT reference_id, target_id FROM exact_both", "joint5", "exact_both")
+def candidates_max_df(spark, sf_dir):
+    """The frequency cap at a value that test tables reach: no token of theirs is in 5,000 targets."""
+    return retrieval.candidates(_records(spark, sf_dir), replace(CONFIGS["legacy"], joint=True, max_df=5))
 
 
 def _quality(k):
@@ -515,22 +541,31 @@ def country_grid(spark, sf_dir):
     return policy.country_grid(_records(spark, sf_dir), _truth(spark, sf_dir), _scored(spark, sf_dir), GRID)
 
 
-def _model_pairs(spark, sf_dir):
+#: Labelled pairs that a model is fitted on, the first in hash order, at most; all candidates are scored.
+FITTED = 20_000
+
+
+def _model_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All legacy candidates with the 22 features, label and split, and the bounded sample of the train part for fitting."""
     r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
-    made = retrieval.candidates(r, replace(CONFIGS["legacy"], top_candidates=10))
-    return pairs.labelled(feat.features(made, r, 6), t)
+    rows = pairs.labelled(feat.features(_legacy(spark, sf_dir), r), t).join(audit.reference_split(r, t).select("reference_id", "split"), "reference_id")
+    at = sinks.scratch(spark, "model")
+    rows.write.parquet(at)
+    rows = spark.read.parquet(at)
+    return rows, rows.where("split = 'train'").orderBy(F.xxhash64(*PAIR), *PAIR).limit(FITTED)
 
 
 @query()
 def lr_scores(spark, sf_dir):
-    rows = _model_pairs(spark, sf_dir)
-    return model.probabilities(model.logistic(rows, feat.FEATURES[:6], rounds=50), rows, feat.FEATURES[:6]).select(*PAIR, "p")
+    """Every candidate's probability, with the split that says whether its reference was held out of the fit."""
+    rows, train = _model_pairs(spark, sf_dir)
+    return model.probabilities(model.logistic(train), rows).select(*PAIR, "split", "y", "p")
 
 
 @query()
 def gbt_scores(spark, sf_dir):
-    rows = _model_pairs(spark, sf_dir)
-    return model.probabilities(model.boosted(rows, feat.FEATURES[:6], depth=3, rounds=5), rows, feat.FEATURES[:6]).select(*PAIR, "p")
+    rows, train = _model_pairs(spark, sf_dir)
+    return model.probabilities(model.boosted(train), rows).select(*PAIR, "split", "y", "p")
 
 
 # Comparisons and fingerprints
@@ -566,7 +601,11 @@ def prediction_fingerprint(spark, sf_dir):
     return evaluation.fingerprint(evaluation.lists_of(_records(spark, sf_dir), _exact(spark, sf_dir)))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT sha256(reference_id || chr(9) || target_id) AS h FROM normalized_exact), a AS (SELECT substr(h, 1, 6) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY 1), "
+    "b AS (SELECT substr(part, 1, 3) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM a GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS sha256 FROM b",
+    "normalized_exact",
+)
 def ordered_fingerprint(spark, sf_dir):
     return evaluation.ordered_fingerprint(_exact(spark, sf_dir), *PAIR)
 
@@ -584,21 +623,35 @@ def candidate_pairs(spark, sf_dir):
     return sinks.list_rows(_records(spark, sf_dir), _legacy(spark, sf_dir), "candidate_entity_ids")
 
 
-@query(oracle.SUBMISSION, "truth")
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat_ws("\t", *rows.columns).alias("value"))
+
+
+@query(oracle.SUBMISSION, "match_lines", "candidate_lines", "ends")
 def submission_checks(spark, sf_dir):
-    """The validator on the truth lists of the references whose number is even, with one line spoiled on purpose."""
-    r = _records(spark, sf_dir)
-    lists = sinks.list_rows(r, _truth(spark, sf_dir)).where("cast(substring(source1_entity_id, 4) AS int) % 2 = 0")
-    lines = lists.select(F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("value"))
-    refs = rec.references(r).select(F.col("entity_id").alias("reference_id"))
-    return validation.submission(lines, refs, rec.targets(r).select(F.col("entity_id").alias("target_id")))
+    """The validator on files of all references with every fault that it knows: see the SQL's match_lines and candidate_lines."""
+    r, ends = _records(spark, sf_dir), _ends(spark, sf_dir)
+    matches = _lines(_less(sinks.list_rows(r, _truth(spark, sf_dir)), ends, "high", "source1_entity_id"))
+    bad = ends.select(F.explode(F.array(F.concat("low", F.lit("\tX-1,S1-00000001,S2-none,S2-none")), F.lit("S1-none\t"), F.lit("no tab here"))).alias("value"))
+    proposed = _lines(_less(sinks.list_rows(r, _legacy(spark, sf_dir), "candidate_entity_ids"), ends, "low", "source1_entity_id"))
+    refs, known = rec.references(r).select(F.col("entity_id").alias("reference_id")), rec.targets(r).select(F.col("entity_id").alias("target_id"))
+    return validation.submission(matches.unionByName(bad), refs, known, proposed.unionByName(ends.select(F.col("low").alias("value"))))
 
 
-@query("SELECT name AS \"check\", 0 AS n, '' AS examples FROM (VALUES ('matches_missing'), ('candidates_missing'), ('not_expected'), ('duplicate_match_rows'), ('duplicate_candidate_rows'), ('match_not_in_candidates')) v(name)")
+@query(oracle.COVERAGE, "faulty_lists", "candidate_lines")
 def coverage_checks(spark, sf_dir):
+    """Faulty lists against candidates that lack a reference."""
+    r = _records(spark, sf_dir)
+    proposed = _less(evaluation.lists_of(r, _legacy(spark, sf_dir)).select("reference_id", "ids"), _ends(spark, sf_dir), "low")
+    return validation.coverage(rec.references(r).select(F.col("entity_id").alias("reference_id")), _faulty_lists(spark, sf_dir), proposed)
+
+
+@query("SELECT name AS \"check\", CASE WHEN name = 'policy_mapping' THEN (SELECT count(*) FROM records a WHERE source = 1 AND country = 'es' AND EXISTS (SELECT 1 FROM normalized_exact n WHERE n.reference_id = a.entity_id AND NOT EXISTS (SELECT 1 FROM raw_exact x WHERE x.reference_id = n.reference_id AND x.target_id = n.target_id))) ELSE 0 END AS n, CASE WHEN name = 'policy_mapping' THEN coalesce((SELECT string_agg(reference_id, ',' ORDER BY reference_id) FROM (SELECT DISTINCT n.reference_id FROM normalized_exact n JOIN records a ON a.entity_id = n.reference_id WHERE a.country = 'es' AND NOT EXISTS (SELECT 1 FROM raw_exact x WHERE x.reference_id = n.reference_id AND x.target_id = n.target_id) ORDER BY 1 LIMIT 5)), '') ELSE '' END AS examples FROM (VALUES ('matches_missing'), ('candidates_missing'), ('not_expected'), ('duplicate_match_rows'), ('duplicate_candidate_rows'), ('match_not_in_candidates'), ('unknown_targets'), ('policy_mapping')) v(name)", "records", "raw_exact", "normalized_exact")
+def hybrid_checks(spark, sf_dir):
+    """The whole hybrid audit, on an output that takes the normalized rule everywhere though the policy says raw for one country."""
     r = _records(spark, sf_dir)
-    both = [evaluation.lists_of(r, p).select("reference_id", "ids") for p in (_exact(spark, sf_dir), _legacy(spark, sf_dir).unionByName(_exact(spark, sf_dir)).distinct())]
-    return validation.coverage(rec.references(r).select(F.col("entity_id").alias("reference_id")), *both)
+    raw, norm = (evaluation.lists_of(r, exact.exact_matches(r, rule)).select("reference_id", "ids") for rule in ("raw_exact", "normalized_exact"))
+    return validation.hybrid_audit(r, {"es": "raw"}, "norm", norm, norm, raw=raw, norm=norm)
 
 
 @query("SELECT coalesce(a.reference_id, b.reference_id) AS reference_id FROM (SELECT reference_id, list_sort(list(target_id)) AS ids FROM raw_exact GROUP BY 1) a FULL JOIN (SELECT reference_id, list_sort(list(target_id)) AS ids FROM normalized_exact GROUP BY 1) b USING (reference_id) WHERE a.ids IS DISTINCT FROM b.ids", "raw_exact", "normalized_exact")
@@ -608,37 +661,217 @@ def candidate_identity(spark, sf_dir):
     return validation.same_candidates(a, b)
 
 
-@query("SELECT name AS \"check\", 0 AS n, '' AS examples FROM (VALUES ('label_not_binary'), ('feature_not_finite'), ('label_is_not_membership'), ('repeated_pairs')) v(name)")
+@query(oracle.PACKET, "pair_ends", "true_pairs")
 def packet_checks(spark, sf_dir):
+    """Labelled pairs with a fault of each kind."""
     r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
     names = list(feat.set_features())
-    rows = feat.with_sides(_legacy(spark, sf_dir), r).select(*PAIR, *(c.alias(n) for n, c in feat.set_features().items()))
-    return validation.packet(pairs.labelled(rows, t), t, names=names)
+    rows = pairs.labelled(feat.with_sides(_legacy(spark, sf_dir), r).select(*PAIR, *(c.alias(n) for n, c in feat.set_features().items())), t)
+    rows = rows.withColumn("id", F.concat_ws("|", *PAIR))
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    hidden = rows.join(F.broadcast(ends)).where("y = 1 AND id > low").agg(F.min("id").alias("hidden"))
+    rows = rows.join(F.broadcast(ends.join(hidden)))
+    rows = rows.withColumn("y", F.when(F.col("id") == F.col("low"), 2).when(F.col("id") == F.col("hidden"), 0).otherwise(F.col("y")))
+    rows = rows.withColumn(names[0], F.when(F.col("id") == F.col("high"), float("nan")).otherwise(F.col(names[0])))
+    rows = rows.withColumn("times", F.explode(F.when(F.col("id") == F.col("high"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return validation.packet(rows.select(*PAIR, *names, "y"), t, names=names)
 
 
 @query("SELECT reference_id, target_id FROM candidates_legacy", "candidates_legacy")
 def stream_matches(spark, sf_dir):
     """The streaming matcher over the same references gives the batch result."""
-    import tempfile
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kinmatch-")
-    at = f"{root.rstrip('/')}/kinmatch-stream-{spark.sparkContext.applicationId}-{len(_STREAMS)}"
-    _STREAMS.append(at)
+    at = sinks.scratch(spark, "stream")
     r = _records(spark, sf_dir)
     rec.references(r).write.parquet(f"{at}/in")
     config = CONFIGS["legacy"]
-    matcher.match_stream(spark, f"{at}/in", r, f"{at}/out", config, matcher.run_identity(config, source=sf_dir)).awaitTermination()
+    matcher.match_stream(spark, f"{at}/in", r, f"{at}/out", config, matcher.run_identity(config, r, source=sf_dir), files_per_batch=4).awaitTermination()
     return matcher.matched(spark, f"{at}/out")
 
 
-_STREAMS: list[str] = []
-
-
 @query("SELECT reference_id, array_to_string(list_sort(list(target_id)), ',') AS ids FROM truth GROUP BY 1", "truth")
 def truth_lists(spark, sf_dir):
     return _truth(spark, sf_dir).groupBy("reference_id").agg(join_ids(F.collect_list("target_id")).alias("ids"))
 
 
+# Files: each query writes to a scratch folder and returns what is read back
+
+
+@query("SELECT entity_id, name_raw AS business_name, address_raw AS business_address, country FROM raw_records", "raw_records")
+def tsv_source(spark, sf_dir):
+    at = sinks.scratch(spark, "tsv")
+    rec.document_sources(spark, sf_dir).write.csv(at, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    return files.read_tsv(spark, at)
+
+
+@query("SELECT country, count(*) AS n_rows, sum(length(name_raw))::BIGINT AS name_characters FROM raw_records GROUP BY 1", "raw_records")
+def tsv_gzip_source(spark, sf_dir):
+    at = sinks.scratch(spark, "gzip")
+    rec.document_sources(spark, sf_dir).write.option("compression", "gzip").csv(at, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    return files.read_tsv(spark, at).groupBy("country").agg(F.count("*").alias("n_rows"), F.sum(F.length("business_name")).alias("name_characters"))
+
+
+def _truth_file(spark, sf_dir) -> str:
+    at = sinks.scratch(spark, "lists")
+    sinks.write_lists(_records(spark, sf_dir), _truth(spark, sf_dir), at, files=1)
+    return at
+
+
+@query("SELECT reference_id, array_to_string(ids, ',') AS ids, len(ids) AS n FROM clean_lists", "clean_lists")
+def truth_source(spark, sf_dir):
+    """Lists written, read strictly and parsed."""
+    return files.read_truth(spark, _truth_file(spark, sf_dir)).select("reference_id", F.concat_ws(",", "ids").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+@query("SELECT reference_id, array_to_string(ids, ',') AS ids FROM clean_lists WHERE reference_id IN (SELECT reference_id FROM normalized_exact)", "clean_lists", "normalized_exact")
+def raw_truth_wanted(spark, sf_dir):
+    return files.read_raw_truth(spark, _truth_file(spark, sf_dir), _exact(spark, sf_dir), strict=False).select("reference_id", F.concat_ws(",", "ids").alias("ids"))
+
+
+@query("SELECT entity_id AS id, (SELECT count(*) FROM records WHERE source = 1) AS n_rows FROM records WHERE source = 1", "records")
+def file_ids(spark, sf_dir):
+    at = _truth_file(spark, sf_dir)
+    return files.read_ids(spark, at).withColumn("n_rows", F.lit(files.count_rows(spark, at)).cast("long"))
+
+
+@query("SELECT reference_id, unnest(string_split(ids, ',')) AS target_id FROM matching WHERE ids <> ''", "matching")
+def prediction_lines(spark, sf_dir):
+    """Predictions as JSON lines, read back and flattened."""
+    at = sinks.scratch(spark, "predictions")
+    sinks.write_predictions(evaluation.lists_of(_records(spark, sf_dir), _exact(spark, sf_dir)), at)
+    return files.read_jsonl(spark, at, "reference_id string, predicted_ids array<string>").select("reference_id", F.explode("predicted_ids").alias("target_id"))
+
+
+@query("SELECT DISTINCT country AS value FROM records", "records")
+def json_array_source(spark, sf_dir):
+    at = sinks.scratch(spark, "countries")
+    whole = _records(spark, sf_dir).select("country").distinct().agg(F.to_json(F.collect_set("country")).alias("value"))
+    whole.coalesce(1).write.text(at)
+    return files.read_json_array(spark, at)
+
+
+@query("SELECT entity_id, country, name_norm FROM records WHERE entity_id IN (SELECT target_id FROM truth)", "truth")
+def record_store(spark, sf_dir):
+    """The store of the targets that have an owner; the second call finds it made of the same inputs."""
+    at, r = f"{sinks.scratch(spark, 'store')}/records", _records(spark, sf_dir)
+    keep = _truth(spark, sf_dir).select(F.col("target_id").alias("entity_id")).distinct()
+    identity = {"records": sinks.content_digest(r)}
+    if not sinks.ingest(r, at, keep, identity) or sinks.ingest(r, at, keep, identity):
+        raise AssertionError("the second call must use the store of the first")
+    return spark.read.parquet(at).select("entity_id", "country", "name_norm")
+
+
+@query("SELECT reference_id AS source1_entity_id, ids FROM matching", "matching")
+def assembled_batches(spark, sf_dir):
+    """References in three batches by a hash, each with its manifest, put together again."""
+    r, made = _records(spark, sf_dir), _exact(spark, sf_dir)
+    at, paths = sinks.scratch(spark, "batches"), []
+    for n in range(3):
+        mine = r.where((F.pmod(F.xxhash64("entity_id"), F.lit(3)) == n) | (F.col("source") > 1))
+        own = made.join(rec.references(mine).select(F.col("entity_id").alias("reference_id")), "reference_id", "left_semi")
+        identity = {"batch": n, "records": sinks.content_digest(mine)}
+        sinks.write_batch(own.withColumn("p", F.lit(1.0)), own, mine, f"{at}/{n}", identity)
+        if not sinks.batch_valid(spark, f"{at}/{n}", identity):
+            raise AssertionError("a batch just written is valid")
+        paths.append(f"{at}/{n}")
+    return sinks.assemble(spark, paths, "matches", rec.references(r).count())
+
+
+@query(f"SELECT threshold, macro_f05, tp, fp, fn FROM ({oracle.sweep('pa', GRID)})", "scored", "truth")
+def threshold_file(spark, sf_dir):
+    at = sinks.scratch(spark, "thresholds") + "/t"
+    sinks.write_thresholds(threshold_sweep(spark, sf_dir), at)
+    return spark.read.csv(at, header=True, schema="threshold double, macro_f05 double, tp long, fp long, fn long")
+
+
+@query("SELECT k, count(*) AS n, count(DISTINCT reference_id) AS n_references FROM ranked5000 JOIN (VALUES (10), (50), (100)) v(k) ON rank <= k WHERE field = 'name' AND rank <= 50 GROUP BY 1", "ranked5000")
+def route_files(spark, sf_dir):
+    at = sinks.scratch(spark, "routes") + "/r"
+    sinks.write_routes(candidates_name(spark, sf_dir), at)
+    return spark.read.json(at).groupBy(F.col("k").cast("int").alias("k")).agg(F.count("*").alias("n"), F.countDistinct("reference_id").alias("n_references"))
+
+
+@query("SELECT s.split AS partition, count(*) AS n, sum((t.target_id IS NOT NULL)::INT)::BIGINT AS positives FROM candidates_legacy c JOIN split s USING (reference_id) LEFT JOIN truth t ON t.reference_id = c.reference_id AND t.target_id = c.target_id GROUP BY 1", "candidates_legacy", "split", "truth")
+def packet_files(spark, sf_dir):
+    """Labelled pairs by split in a packet whose files are checked by SHA-256 when they are read."""
+    r, t = _records(spark, sf_dir), _truth(spark, sf_dir)
+    at = sinks.scratch(spark, "packet")
+    parts = audit.reference_split(r, t).select("reference_id", F.col("split").alias("partition"))
+    sinks.write_packet(pairs.labelled(_legacy(spark, sf_dir), t).join(parts, "reference_id"), at, {"features": []})
+    rows, _ = sinks.read_packet(spark, at)
+    return rows.groupBy("partition").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+
+
+# Errors, coverage and confirmation
+
+
+@query(
+    "WITH e AS (SELECT s.reference_id, s.target_id, pa, address_missing, address_numbers_both, address_numbers_equal, CASE WHEN pa >= 0.08 AND t.target_id IS NULL THEN 'FP' WHEN pa < 0.08 AND t.target_id IS NOT NULL THEN 'FN' END AS kind FROM scored s JOIN features f USING (reference_id, target_id) LEFT JOIN truth t USING (reference_id, target_id)), "
+    "c AS (SELECT *, 'missing_address' AS category FROM e WHERE kind IS NOT NULL AND address_missing = 1 UNION ALL SELECT *, 'numeric_disagreement' FROM e WHERE kind IS NOT NULL AND address_numbers_both = 1 AND address_numbers_equal = 0) "
+    "SELECT reference_id, target_id, category, kind, pa, r.name_raw AS reference_name, r.address_raw AS reference_address, t.name_raw AS target_name, t.address_raw AS target_address FROM c JOIN records r ON r.entity_id = reference_id JOIN records t ON t.entity_id = target_id",
+    "scored",
+    "features",
+    "truth",
+)
+def error_mining(spark, sf_dir):
+    """All errors of model a among the candidates, in the two categories, at a threshold that has some."""
+    r = _records(spark, sf_dir)
+    some = _features(spark, sf_dir, "address_missing", "address_numbers_both", "address_numbers_equal")
+    rows = evaluation.mined_errors(r, _truth(spark, sf_dir), _scored(spark, sf_dir).join(some, PAIR), 0.08, "pa", limit=None)
+    return rows.select(*PAIR, "category", "kind", "pa", "reference_name", "reference_address", "target_name", "target_address")
+
+
+@query(
+    "SELECT threshold, tp, fp, links - tp AS fn, round(CASE WHEN links + fp = 0 THEN 1.0 ELSE 1.25 * tp / (1.25 * tp + fp + 0.25 * (links - tp)) END, 9) AS pooled_f05 FROM (SELECT threshold, count_if(pa >= threshold AND t.target_id IS NOT NULL) AS tp, count_if(pa >= threshold AND t.target_id IS NULL) AS fp, (SELECT count(*) FROM truth) AS links FROM scored s LEFT JOIN truth t USING (reference_id, target_id), (VALUES (0.362::DOUBLE), (0.665::DOUBLE)) v(threshold) GROUP BY 1)",
+    "scored",
+    "truth",
+)
+def pooled_at_thresholds(spark, sf_dir):
+    return evaluation.pooled_at(_truth(spark, sf_dir), _scored(spark, sf_dir), [0.362, 0.665], "pa")
+
+
+@query(
+    oracle.findings(
+        truth_missing="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM faulty_lists)", truth_extra="SELECT 'S1-none' AS id", truth_repeated="SELECT low AS id FROM ends",
+        prediction_missing="SELECT entity_id AS id FROM records WHERE source = 1 AND entity_id NOT IN (SELECT reference_id FROM normalized_exact)", prediction_extra="SELECT NULL::VARCHAR AS id WHERE false", prediction_repeated="SELECT NULL::VARCHAR AS id WHERE false",
+    ),
+    "faulty_lists",
+    "ends",
+    "normalized_exact",
+)
+def coverage_of_lists(spark, sf_dir):
+    """What keeps the macro score from being taken: faulty truth lists, and predictions without the empty ones."""
+    r = _records(spark, sf_dir)
+    return evaluation.uncovered(r, _faulty_lists(spark, sf_dir), evaluation.lists_of(r, _exact(spark, sf_dir)).where(F.size("ids") > 0))
+
+
+@query(f"SELECT {oracle.SUMMARY} FROM evaluation", "evaluation")
+def macro_of_lists(spark, sf_dir):
+    """The summary again, from lists that are first checked to cover the references."""
+    r = _records(spark, sf_dir)
+    return evaluation.macro_of_lists(r, _truth_lists(spark, sf_dir), evaluation.lists_of(r, _exact(spark, sf_dir)).select("reference_id", "ids"))
+
+
+@query()
+def locked_confirmation(spark, sf_dir):
+    """Both models' thresholds, chosen on the dev part and judged on the holdout part."""
+    r, t, s = _records(spark, sf_dir), _truth(spark, sf_dir), _scored(spark, sf_dir)
+    split = audit.reference_split(r, t).select("reference_id", "split")
+
+    def part(name: str):
+        own = split.where(F.col("split") == name).select("reference_id")
+        inside = lambda x: x.join(own, "reference_id", "left_semi")
+        refs = r.join(own.withColumnRenamed("reference_id", "entity_id"), "entity_id", "left_semi")
+        return refs, inside(t), inside(s)
+
+    return policy.confirmed(part("dev"), part("holdout"), ["pa", "pb"], GRID)
+
+
+@query("SELECT c.reference_id, c.target_id, round(name_jaccard, 9) AS name_jaccard, round(address_jaccard, 9) AS address_jaccard, name_exact, address_exact, name_missing, address_missing FROM features c", "features")
+def features_first_generation(spark, sf_dir):
+    rows = feat.features(_legacy(spark, sf_dir), _records(spark, sf_dir), feat.GENERATIONS["v1"])
+    return rows.select(*PAIR, *(F.round(n, 9).alias(n) if n.endswith("jaccard") else F.col(n) for n in feat.FEATURES[:6]))
+
+
 # Generic audits on tables that are no entity data
 
 

@@ -83,6 +83,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.select("j.*").drop("_bad")
 
 
+def invalid_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line_number, value of the lines that read_jsonl() refuses; numbers count from 1 in each file."""
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                lines = content.decode("utf-8", "replace").split("\n")
+                lines = lines[:-1] if lines[-1] == "" else lines
+                for at in range(0, len(lines), 10_000):
+                    some = lines[at : at + 10_000]
+                    yield pd.DataFrame({"file": name, "line_number": range(at + 1, at + 1 + len(some)), "value": some})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(numbered, "file string, line_number long, value string")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.withColumn("j", parsed).where((F.trim("value") == "") | F.col("j").isNull() | F.col("j._bad").isNotNull()).drop("j")
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """value: the elements of a file that is one JSON array of strings."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("value"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+_serial = itertools.count()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place below spark.checkpoint.dir, which all executors share; a temporary folder where that is unset in local mode."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local.setdefault("root", "file://" + tempfile.mkdtemp(prefix="kinmatch-"))
+    return f"{root.rstrip('/')}/kinmatch-{name}-{spark.sparkContext.applicationId}-{next(_serial)}"
+
+
+_local: dict[str, str] = {}
+
+
 def publish(df: DataFrame, path: str, write) -> None:
     """write(df, temporary path), then one rename; a place that is taken raises an error."""
     spark = df.sparkSession
@@ -50,11 +68,31 @@ def write_report(spark: SparkSession, path: str, report: dict, title: str | None
         write_text(spark, path.removesuffix(".json") + ".md", f"# {title}\n\n| measure | value |\n|---|---|\n{rows}")
 
 
-def ingest(records: DataFrame, path: str, keep: DataFrame | None = None) -> None:
-    """The record store: Parquet by country; keep: entity_id of the rows wanted."""
+def content_digest(rows: DataFrame) -> str:
+    """Number and order-free digest of rows: two sums of row hashes, so it does not depend on files or partitions."""
+    columns = sorted(rows.columns)
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+    n, a, b = rows.agg(F.count("*"), part(1), part(2)).first()
+    return f"{n}:{int(a or 0) % (1 << 64):016x}{int(b or 0) % (1 << 64):016x}"
+
+
+def ingest(records: DataFrame, path: str, keep: DataFrame | None = None, identity: dict | None = None) -> bool:
+    """The record store: Parquet by country; keep: entity_id of the rows wanted.
+
+    identity (digests of the inputs) is written beside it; a store that is there already is used again, and False
+    returned, if its identity is the same, and is an error if not.
+    """
+    spark, note = records.sparkSession, f"{path.rstrip('/')}.identity.json"
+    if identity is not None and exists(spark, path):
+        if exists(spark, note) and json.loads(spark.read.text(note, wholetext=True).first()[0]) == identity:
+            return False
+        raise ValueError(f"{path} was made from other inputs")
     rows = records if keep is None else records.join(keep.select("entity_id"), "entity_id", "left_semi")
     # Within a file ids are ordered, so lookups of id ranges skip row groups.
     publish(rows.repartition("country", F.pmod(F.xxhash64("entity_id"), F.lit(64))).sortWithinPartitions("country", "source", "entity_id"), path, lambda d, p: d.write.partitionBy("country").parquet(p))
+    if identity is not None:
+        write_text(spark, note, json.dumps(identity, sort_keys=True))
+    return True
 
 
 def list_rows(records: DataFrame, pairs: DataFrame, column: str = TRUTH_COLUMNS[1]) -> DataFrame:
@@ -123,9 +161,27 @@ def write_routes(ranked: DataFrame, path: str, ks: tuple[int, ...] = (10, 50, 10
     publish(ranked.withColumn("k", lengths), path, lambda d, p: d.write.partitionBy("k").json(p))
 
 
+def file_digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of every data file below path, by its place there; the driver gets one row a file."""
+    root = str(_filesystem(spark, path)[1].makeQualified(_filesystem(spark, path)[0])).rstrip("/") + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    tail = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  (file:/ and file:/// are the same place)
+    return {tail(r.path).removeprefix(tail(root)): r.sha256 for r in rows.collect()}
+
+
 def write_packet(pairs: DataFrame, path: str, metadata: dict) -> None:
-    """Labelled feature rows by partition, and a manifest with counts."""
+    """Labelled feature rows by partition, and a manifest with counts and the SHA-256 of every file."""
     spark = pairs.sparkSession
     publish(pairs, f"{path}/pairs", lambda d, p: d.write.partitionBy("partition").parquet(p))
     counts = {r["partition"]: r["n"] for r in spark.read.parquet(f"{path}/pairs").groupBy("partition").agg(F.count("*").alias("n")).collect()}
-    write_text(spark, f"{path}/metadata.json", json.dumps(metadata | {"pairs": counts}, sort_keys=True))
+    write_text(spark, f"{path}/metadata.json", json.dumps(metadata | {"pairs": counts, "files": file_digests(spark, f"{path}/pairs")}, sort_keys=True))
+
+
+def read_packet(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rows and the manifest of a packet; a file that is missing, new or changed raises a ValueError."""
+    metadata = json.loads(spark.read.text(f"{path}/metadata.json", wholetext=True).first()[0])
+    found = file_digests(spark, f"{path}/pairs")
+    wrong = sorted(name for name in found.keys() | metadata["files"].keys() if found.get(name) != metadata["files"].get(name))
+    if wrong:
+        raise ValueError(f"packet files differ from the manifest: {wrong[:5]}")
+    return spark.read.parquet(f"{path}/pairs"), metadata

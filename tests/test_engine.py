@@ -11,7 +11,7 @@ from kinmatch.functions.features import FEATURES
 from kinmatch.operators import audit, evaluation, exact, model, pairs, policy, retrieval, validation
 from kinmatch.operators.retrieval import CONFIGS
 from kinmatch.plans import registry
-from kinmatch.sources import files, sinks
+from kinmatch.sources import archives, files, sinks
 from kinmatch.sources import records as rec
 from kinmatch.streaming import matcher
 
@@ -265,6 +265,120 @@ def test_stream_resumes(spark, records, tmp_path):
     assert rows(matcher.matched(spark, out)) == rows(retrieval.candidates(records, config))
 
 
+def test_batches_of_a_stream_are_signed(spark, records, tmp_path):
+    incoming, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rec.references(records).repartition(3, "entity_id").write.parquet(incoming)
+    config = CONFIGS["legacy"]
+    identity = matcher.run_identity(config, records)
+    assert identity == matcher.run_identity(config, records.repartition(5)) != matcher.run_identity(config, records.where("entity_id <> 'S2-X'"))
+    matcher.match_stream(spark, incoming, records, out, config, identity, files_per_batch=1).awaitTermination()
+    folders = matcher.published(spark, out)
+    assert len(folders) > 1 and rows(matcher.matched(spark, out)) == rows(retrieval.candidates(records, config))
+    done = tmp_path / "out" / "batches" / "0"
+    (done / "batch.json").rename(done / "gone.json")
+    assert matcher.published(spark, out) == folders[1:], "without its manifest a batch is not complete"
+    (done / "gone.json").rename(done / "batch.json")
+    spark.createDataFrame([("S1-A", "S9-forged")], PAIR).write.mode("append").parquet(f"{done}/pairs")
+    with pytest.raises(ValueError):
+        matcher.matched(spark, out)
+
+
+def test_split_import(spark):
+    store = rec.normalized(spark.createDataFrame([(f"S{s}-{n}", n, "a", "US") for s, names in ((1, "ABCD"), (2, "XE"), (3, "Y")) for n in names], SOURCE))
+    truth = spark.createDataFrame([("S1-A", "S2-X"), ("S1-B", "S3-Y")], PAIR)
+    refs = spark.createDataFrame([("S1-A", "train"), ("S1-B", "dev"), ("S1-C", "holdout"), ("S1-D", "dev")], "reference_id string, split string")
+    drawn = spark.createDataFrame([("S2-E", "train")], "target_id string, split string")
+    split, assigned = audit.import_split(store, truth, refs, drawn)
+    assert rows(split.select("reference_id", "split")) == rows(refs)
+    assert rows(assigned.select("target_id", "split")) == [("S2-E", "train"), ("S2-X", "train"), ("S3-Y", "dev")]
+    for bad in ((refs.where("reference_id <> 'S1-C'"), drawn), (refs.union(refs.limit(1)), drawn), (refs.replace("dev", "other", "split"), drawn), (refs, drawn.limit(0))):
+        with pytest.raises(ValueError):
+            audit.import_split(store, truth, *bad)
+
+
+def test_lists_must_cover_the_references(spark, records):
+    good = lists(spark, [("S1-A", ["S2-X", "S3-Y"]), ("S1-B", []), ("S1-C", ["S2-blank"])])
+    assert evaluation.macro_of_lists(records, good, good).first().macro_f05 == 1.0
+    for bad in (good.where("reference_id <> 'S1-B'"), good.union(good.limit(1)), good.union(lists(spark, [("S1-Z", ["S2-X"])]))):
+        with pytest.raises(ValueError):
+            evaluation.macro_of_lists(records, good, bad)
+        with pytest.raises(ValueError):
+            evaluation.macro_of_lists(records, bad, good)
+
+
+def test_errors_are_mined_by_category(spark, records, truth):
+    data = [("S1-A", "S2-X", 0.9, 0.0, 1.0, 1.0), ("S1-A", "S3-Y", 0.1, 0.0, 1.0, 0.0), ("S1-B", "S2-fp", 0.8, 0.0, 1.0, 0.0), ("S1-C", "S2-blank", 0.2, 1.0, 0.0, 0.0)]
+    scored = spark.createDataFrame(data, PAIR + ", p double, address_missing double, address_numbers_both double, address_numbers_equal double")
+    got = rows(evaluation.mined_errors(records, truth, scored, 0.5).select("category", "kind", "target_id", "p", "target_name"))
+    assert got == [("missing_address", "FN", "S2-blank", 0.2, "Blank"), ("numeric_disagreement", "FN", "S3-Y", 0.1, " ALPHA "), ("numeric_disagreement", "FP", "S2-fp", 0.8, "Singleton")]
+    assert [tuple(r)[1:4] for r in evaluation.pooled_at(truth, scored, [0.85, 0.15]).orderBy("threshold").collect()] == [(2, 1, 1), (1, 0, 2)]
+
+
+def test_locked_threshold(spark, records, truth):
+    tuning = spark.createDataFrame([("S1-A", "S2-X", 0.6, 0.9), ("S1-A", "S3-Y", 0.6, 0.9), ("S1-C", "S2-blank", 0.6, 0.9), ("S1-B", "S2-fp", 0.5, 0.1)], PAIR + ", pa double, pb double")
+    later = tuning.withColumn("pa", F.when(F.col("target_id") == "S2-fp", 0.58).otherwise(F.col("pa")))
+    got = {r.model: r for r in policy.confirmed((records, truth, tuning), (records, truth, later), ["pa", "pb"], [0.3, 0.55, 0.95]).collect()}
+    assert (got["pa"].threshold, got["pa"].fp, got["pb"].threshold, got["pb"].fp) == (0.55, 1, 0.3, 0) and got["pa"].oracle_macro_f05 == got["pb"].macro_f05 == 1.0
+
+
+def test_output_audits(spark, records, truth):
+    good = lists(spark, [("S1-A", ["S2-X", "S3-Y"]), ("S1-B", []), ("S1-C", ["S2-blank"])])
+    other = lists(spark, [("S1-A", ["S2-X"]), ("S1-B", ["S2-none"]), ("S1-C", ["S2-blank"])])
+    found = lambda df: {r.check: r.n for r in df.where("n > 0").collect()}
+    assert found(validation.hybrid_audit(records, {"India": "b"}, "a", good, good, a=good, b=other)) == {}
+    assert found(validation.hybrid_audit(records, {"US": "b"}, "a", good, good, a=good, b=other)) == {"policy_mapping": 2}
+    assert found(validation.hybrid_audit(records, {"US": "b"}, "a", other, good, a=good, b=other)) == {"match_not_in_candidates": 1, "unknown_targets": 1}
+    assert found(validation.rescored((good, good), (good, good))) == {}
+    assert found(validation.rescored((good, good), (other.where("reference_id <> 'S1-C'"), other))) == {"coverage_lost": 1, "candidates_changed": 2}
+    fresh = truth.withColumns({n: F.lit(0.5) for n in FEATURES})
+    assert found(validation.cache_parity(fresh, fresh.withColumn("name_char", F.lit(0.500001)))) == {}
+    assert found(validation.cache_parity(fresh, fresh.withColumn("name_char", F.lit(0.501)).where("target_id <> 'S3-Y'"))) == {"not_cached": 1, "not_close": 2}
+
+
+def test_archives(tmp_path):
+    (tmp_path / "p" / "in").mkdir(parents=True)
+    (tmp_path / "p" / "in" / "a.txt").write_text("a")
+    (tmp_path / "p" / "m.json").write_text("{}")
+    z = str(tmp_path / "p.zip")
+    assert archives.pack(str(tmp_path / "p"), z) == archives.pack(str(tmp_path / "p"), z), "equal folders give equal archives"
+    want = {"in/a.txt": archives.checksum(tmp_path / "p" / "in" / "a.txt"), "m.json": archives.checksum(tmp_path / "p" / "m.json")}
+    archives.extract(z, str(tmp_path / "out"), want)
+    assert (tmp_path / "out" / "in" / "a.txt").read_text() == "a"
+    with pytest.raises(FileExistsError):
+        archives.extract(z, str(tmp_path / "out"), want)
+    for wrong in (want | {"b": "0"}, {"m.json": want["m.json"]}, want | {"m.json": "0"}):
+        assert archives.problems(z, wrong)
+    (tmp_path / "p.zip.sha256").write_text("0  p.zip")
+    assert archives.problems(z)
+    for name in ("../x", "/x", "a\\x", "C:x", "in/../../x"):
+        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as f:
+            f.writestr(name, "x")
+        with pytest.raises(ValueError):
+            archives.extract(str(tmp_path / "bad.zip"), str(tmp_path / "never"))
+    with pytest.warns(UserWarning), zipfile.ZipFile(tmp_path / "twice.zip", "w") as f:
+        f.writestr("x", "1")
+        f.writestr("x", "2")
+    assert archives.problems(str(tmp_path / "twice.zip")) and not (tmp_path / "never").exists()
+
+
+def test_packets_and_stores_are_checked(spark, records, truth, tmp_path):
+    at = str(tmp_path / "packet")
+    sinks.write_packet(truth.withColumns({"y": F.lit(1), "partition": F.lit("train")}), at, {"features": []})
+    held, metadata = sinks.read_packet(spark, at)
+    assert held.count() == 3 and metadata["pairs"] == {"train": 3} and metadata["files"]
+    truth.limit(1).withColumn("y", F.lit(0)).write.mode("append").parquet(f"{at}/pairs/partition=train")
+    with pytest.raises(ValueError):
+        sinks.read_packet(spark, at)
+    store = str(tmp_path / "store")
+    assert sinks.ingest(records, store, identity={"x": 1}) and not sinks.ingest(records, store, identity={"x": 1})
+    with pytest.raises(ValueError):
+        sinks.ingest(records, store, identity={"x": 2})
+    j = tmp_path / "x.jsonl"
+    j.write_text('{"a": 1}\n\n{"a": 2}\n{"a": \n')
+    assert [(r.line_number, r.value) for r in files.invalid_json_lines(spark, str(j), "a int").collect()] == [(2, ""), (4, '{"a": ')]
+    assert files.dataset_paths("/d/")[0] == "/d/train/source_1.tsv"
+
+
 @pytest.fixture(scope="module")
 def noisy(spark, tmp_path_factory):
     """Documents with names and addresses of shared words: each reference has many legacy candidates."""
