@@ -1,4 +1,5 @@
 import random
+import re
 import sys
 from collections import Counter
 
@@ -58,7 +59,8 @@ def test_stages_against_brute_force(spark, folder):
             first.setdefault(tuple(w[k : k + 50]), i)
     for i, w in enumerate(words):
         gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
-        assert cleaned[i].text == (" ".join(x for k, x in enumerate(w) if k not in gone) if gone else texts[i])
+        kept = [m.group() + s for k, (m, s) in enumerate(zip(WORD.finditer(texts[i]), [*re.split(WORD, texts[i])[1:]])) if k not in gone]
+        assert cleaned[i].text == re.split(WORD, texts[i])[0] + "".join(kept)
         assert cleaned[i].n_chars == len(cleaned[i].text)
     assert cleaned[300].text is None and len(cleaned) == 301
 
@@ -107,3 +109,27 @@ def test_repeated_rows_and_null_ids(spark):
     total = sum(len(t.split()) for _, t in data)
     assert all(n <= 3 * rows[r] for r, n in taken.items())
     assert total - 160 <= sum(n * len(r[1].split()) for r, n in taken.items()) <= total
+
+
+def test_stages_on_edge_cases(spark, folder):
+    at, texts, _ = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, N_Words int, predicted int, size long, bucket string, _done int, component_id long, taken long"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = [(1, texts[1]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (None, None), (4, None), (5, ""), (6, " \n\t"), (7, long), (8, f"a\n\n  b {passage}\n\n\tc  d"), (9, f"{passage}\n{texts[6]}"), (10, f"x {passage} y")]
+    rows = [(i, t, None, None if i == 7 else "s", None, 1.5, 2, 3, 4, "b", 5, 6, 7) for i, t in data]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, at)
+        assert got.columns == docs.columns and stage(spark, none, at).count() == 0, name
+        assert all(r.score == 1.5 and r.N_Words == 2 and r.predicted == 3 and r._done == 5 for r in got.collect()), name
+    quality = Counter(r.doc_id for r in corpus_pipeline.good_quality(spark, docs, at).collect())
+    assert quality[1] in (0, 3), "equal texts are judged alike"
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, at).collect())
+    assert kept == Counter(set(data) - {data[11]}), "the last is a near copy of the one with id 8"
+    cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, at).collect() if r.doc_id and r.doc_id > 4}
+    assert cut == {5: "", 6: " \n\t", 7: long, 8: data[9][1], 9: texts[6], 10: "x y"}
+    assert corpus_pipeline.repeated_passages(spark, docs, at).where("doc_id = 10").first().n_chars == 3
+    assert {r.doc_id for r in corpus_pipeline.source_mix(spark, docs, at).collect()}.isdisjoint({4, 5, 6})
+    ids = {(r.doc_id, r.n_tokens > 0) for r in corpus_pipeline.tokens(spark, docs, at).collect()}
+    assert {(4, False), (5, False), (6, True), (7, True), (None, False), (None, True)} <= ids and corpus_pipeline.tokens(spark, none, at).count() == 0
