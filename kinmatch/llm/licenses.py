@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.common import ascii_lower
 
-#: Words of a lower-cased text, and the same words of a text as it stands.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but digits and letters. Words are the same before and after lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Share of a template's weight that must be in place.
 THRESHOLD = 0.6
 #: Words of a phrase whose postings are intersected.
@@ -68,6 +67,11 @@ TEMPLATES = (
 STOP = frozenset("a an and any are for in into is it of or the this to under use with without".split())
 
 
+def words_of(text: Column) -> Column:
+    """All words of a text in order, by splitting between them, which takes less time than extracting each."""
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.words} - STOP)
 
@@ -89,7 +93,7 @@ def word_regex(words: list[str]) -> str:
 def inverse_frequencies(rows: DataFrame, vocab: list[str]) -> dict[str, float]:
     """IDF of the words over all rows (column _text), from one pass; the driver gets one row a word at most."""
     marked = F.col("_text").rlike(word_regex(vocab))
-    found = F.array_distinct(F.filter(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD), F.lit(0)), lambda w: w.isin(vocab)))
+    found = F.array_distinct(F.filter(words_of(ascii_lower(F.col("_text"))), lambda w: w.isin(vocab)))
     # The empty word counts the rows.
     words = F.concat(F.when(marked, found).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
     df = {r[0]: r[1] for r in rows.select(F.explode(words).alias("word")).groupBy("word").count().collect()}
@@ -130,8 +134,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     anchors = sorted({w for x in templates for w in ranked(x.phrase[1])})
 
     text = F.col("_text")
-    words = F.when(text.rlike(word_regex(anchors)), F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = rows.select(id_col, F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("_words"))
+    words = F.when(text.rlike(word_regex(anchors)), words_of(ascii_lower(text))).otherwise(F.array().cast("array<string>"))
+    out = rows.select(id_col, F.size(words_of(text)).cast("long").alias("n_words"), words.alias("_words"))
     # Where the file's licence words stand.
     spots = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(anchors))
     out = out.withColumn("_spots", spots)
