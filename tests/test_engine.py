@@ -61,6 +61,27 @@ def test_retrieval_fixture(spark):
     assert [r.target_id for r in retrieval.top_candidates(tied, 3).orderBy("rank").collect()] == ["099", "105", "200"]
 
 
+def test_pairs_are_scored_where_they_are_formed(spark, noisy):
+    """No exchange between a posting list's expansion and the ranks: scored pairs are never shuffled."""
+    records = registry._records(spark, noisy)
+    for name in ("legacy", "k100", "exact_buckets"):
+        plan = retrieval.routes(records, CONFIGS[name])._jdf.queryExecution().executedPlan().toString()
+        upper = plan[plan.index("Window ") : plan.index("Generate explode(split(")].splitlines()
+        # Lines left of the expansion's own branch; builds of hash tables hang beside it.
+        depth = len(plan[: plan.index("Generate explode(split(")].splitlines()[-1])
+        assert upper and not any("Exchange" in line and len(line[: line.index("Exchange")]) <= depth and ":" not in line[: line.index("Exchange")] for line in upper)
+
+
+def test_capped_bucket_takes_scored_targets_first(spark):
+    """A bucket of more targets than the cap: those that share the address come first, then the smallest ids."""
+    data = [("S1-q", "Same", "rare road", "US")] + [(f"S2-{i:03}", "Same", "rare road" if i in (77, 119) else f"other{i}", "US") for i in range(120)]
+    data += [(f"S3-{i:03}", f"Name{i}", f"Place{i}", "US") for i in range(60)]
+    records = rec.normalized(spark.createDataFrame(data, SOURCE), exact=True)
+    got = [t for _, t in rows(retrieval.exact_capped(records, CONFIGS["legacy"], "name", 10))]
+    assert got == [f"S2-{i:03}" for i in range(8)] + ["S2-077", "S2-119"]
+    assert {("S1-q", t) for t in got} <= set(rows(retrieval.candidates(records, CONFIGS["exact_buckets"])))
+
+
 def lists(spark, data):
     return spark.createDataFrame([(r, list(t)) for r, t in data], "reference_id string, ids array<string>")
 
