@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.functions import features
 from kinmatch.functions.features import FEATURES
 from kinmatch.operators import audit, evaluation, exact, model, pairs, policy, retrieval, validation
 from kinmatch.operators.retrieval import CONFIGS
@@ -413,6 +414,17 @@ def noisy(spark, tmp_path_factory):
     return at
 
 
+def test_no_exchange_has_sides(spark, records):
+    """Sides meet pairs in their place: what is above the hash table of targets is not shuffled."""
+    pairs = spark.createDataFrame([("S1-A", "S2-X"), ("S1-A", "S2-fp")], PAIR)
+    for made in (features.with_sides(pairs, records), features.features(pairs, records)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Exchange" not in plan[: plan.index("ShuffledHashJoin")]
+        assert made.count() == 2
+    with pytest.raises(Exception, match="no record for pair"):
+        features.with_sides(spark.createDataFrame([("S1-A", "S2-none")], PAIR), records).collect()
+
+
 def test_sequence_features_of_noisy_candidates(spark, noisy):
     pairs = {tuple(r) for r in registry._legacy(spark, noisy).select("reference_id", "target_id").collect()}
     records = {r.entity_id: r for r in registry._records(spark, noisy).collect()}
