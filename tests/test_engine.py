@@ -434,3 +434,14 @@ def test_sequence_features_of_noisy_candidates(spark, noisy):
         a, b = records[r.reference_id], records[r.target_id]
         assert r.name_char == pytest.approx(difflib.SequenceMatcher(None, a.name_norm, b.name_norm, False).ratio())
     assert sum(0 < r.name_char < 1 for r in got) > 1000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_stay_in_the_jvm(spark, noisy):
+    """Texts of pairs don't go to Python, and a pair's sets are met once each."""
+    for made in (registry.features_sequence(spark, noisy), registry.features_all22(spark, noisy)):
+        plan = plan_of(made)
+        assert "Python" not in plan and "array_except" not in plan and "array_union" not in plan

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinmatch.functions import features as feat
+from kinmatch.functions import sequence
 from kinmatch.functions import text as tx
 from kinmatch.sources.records import normalized
 
@@ -93,3 +95,18 @@ def test_features_match_their_definitions(spark):
             assert math.isclose(row[name], want[name], abs_tol=1e-12), (row.reference_id, row.target_id, name)
     with pytest.raises(Exception):
         feat.features(spark.createDataFrame([("S1-0", "S2-none")], "reference_id string, target_id string"), records, 6).collect()
+
+
+def test_sequence_ratio_is_difflibs(spark):
+    dice = random.Random(7)
+    some = lambda n, of: "".join(dice.choice(of) for _ in range(n))
+    made = [("", ""), ("", "a"), ("abcd", "bcde"), ("a" * 300, "a" * 200), (" abcd", "abcd abcd")]
+    for _ in range(600):
+        of = dice.choice(["ab", "abcdefghijklmnopqrst    ", "äßñ名字𝒜😀ab", "".join(map(chr, range(0x1F300, 0x1F400)))])
+        a = some(dice.choice([0, 1, 40, 199, 200, 201, 450]), of)
+        cut = dice.randrange(len(a) + 1)
+        made.append((a, dice.choice([a[cut:] + some(9, of) + a[:cut], some(dice.choice([1, 40, 199, 200, 450]), of)])))
+    rows = spark.createDataFrame([*made, (None, "a"), ("a", None)], "a string, b string").select("a", "b", sequence.ratio(spark, F.col("a"), F.col("b")).alias("x")).collect()
+    assert len(rows) == len(made) + 2
+    for r in rows:
+        assert r.x == (None if r.a is None or r.b is None else SequenceMatcher(None, r.a, r.b).ratio()), (r.a, r.b)
