@@ -445,3 +445,9 @@ def test_features_stay_in_the_jvm(spark, noisy):
     for made in (registry.features_sequence(spark, noisy), registry.features_all22(spark, noisy)):
         plan = plan_of(made)
         assert "Python" not in plan and "array_except" not in plan and "array_union" not in plan
+
+
+def test_candidates_are_found_once(spark, noisy):
+    """Features read candidates twice, so they are written."""
+    for made in (registry.features_sequence(spark, noisy), registry.features_all22(spark, noisy)):
+        assert "posexplode" not in plan_of(made) and "Window" not in plan_of(made)
