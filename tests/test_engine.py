@@ -451,3 +451,15 @@ def test_candidates_are_found_once(spark, noisy):
     """Features read candidates twice, so they are written."""
     for made in (registry.features_sequence(spark, noisy), registry.features_all22(spark, noisy)):
         assert "posexplode" not in plan_of(made) and "Window" not in plan_of(made)
+
+
+def test_models_read_what_is_written(spark, noisy):
+    """The fit's sample is written, so no round sorts all pairs again; its rows and the features are those of all pairs."""
+    rows, train = registry._model_pairs(spark, noisy)
+    assert "Sort" not in plan_of(train) and "TakeOrdered" not in plan_of(train)
+    want = rows.where("split = 'train'").orderBy(F.xxhash64(*registry.PAIR), *registry.PAIR).limit(registry.FITTED)
+    assert sorted(train.collect()) == sorted(want.collect())
+    first = [*registry.PAIR, *FEATURES]
+    assert sorted(rows.select(*first).collect()) == sorted(registry.features_all22(spark, noisy).select(*first).collect())
+    truth = {tuple(r) for r in registry._truth(spark, noisy).collect()}
+    assert all(r.y == ((r.reference_id, r.target_id) in truth) for r in rows.collect())
