@@ -463,3 +463,17 @@ def test_models_read_what_is_written(spark, noisy):
     assert sorted(rows.select(*first).collect()) == sorted(registry.features_all22(spark, noisy).select(*first).collect())
     truth = {tuple(r) for r in registry._truth(spark, noisy).collect()}
     assert all(r.y == ((r.reference_id, r.target_id) in truth) for r in rows.collect())
+
+
+def test_what_is_written_leaves_no_shuffle(spark):
+    """The setting under which shuffle files go with their job holds while rows are written, and only then."""
+    seen, was = [], spark.conf.get(registry.CLEANUP)
+
+    class Rows:
+        @property
+        def write(self):
+            seen.append(spark.conf.get(registry.CLEANUP))
+            return spark.range(3).repartition(2, "id").write
+
+    assert registry._kept(spark, Rows(), "rows").count() == 3
+    assert seen == ["true"] and spark.conf.get(registry.CLEANUP) == was
